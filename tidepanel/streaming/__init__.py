@@ -1,0 +1 @@
+"""Reserved: every input of this workload is a static table, so there is no stream operator."""
