@@ -1,77 +1,6 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame."""
+"""Importing this module registers every query."""
 
-from __future__ import annotations
+from tidepanel.plans import audit_queries, decision_queries, evaluation_queries, panel_queries  # noqa: F401
+from tidepanel.plans.registry import REGISTRY
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidepanel.functions.numeric import fixed
-from tidepanel.plans.inputs import Dataset
-
-Query = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, Query] = {}
-
-
-def query(name: str, level: str = "nation"):
-    """Register a query written against a Dataset."""
-
-    def register(fn: Callable[[Dataset], DataFrame]):
-        REGISTRY[name] = lambda spark, sf_dir: fn(Dataset(spark, sf_dir, level))
-        return fn
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every fractional column so that engines agree to the last digit."""
-    return df.select(
-        *[
-            fixed(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name)
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))
-            else F.col(f"`{f.name}`")
-            for f in df.schema
-        ]
-    )
-
-
-@query("daily_panel")
-def _(d):
-    return rounded(d.daily)
-
-
-@query("daily_panel_supplier", "supplier")
-def _(d):
-    return rounded(d.daily)
-
-
-@query("features")
-def _(d):
-    return rounded(d.features)
-
-
-@query("features_supplier", "supplier")
-def _(d):
-    return rounded(d.features)
-
-
-@query("labels")
-def _(d):
-    return rounded(d.labels)
-
-
-@query("labels_supplier", "supplier")
-def _(d):
-    return rounded(d.labels)
-
-
-@query("merchants")
-def _(d):
-    return rounded(d.merchants)
-
-
-@query("scenario_events")
-def _(d):
-    return rounded(d.events)
+__all__ = ["REGISTRY"]
