@@ -33,6 +33,8 @@ def with_(select: str, *needs: str) -> str:
         visit(name)
     if not ordered:
         return select
+    if select.startswith(", "):
+        return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + select
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n" + select
 
 

@@ -26,3 +26,11 @@ ORACLE["merchants"] = with_(
     "merchants",
 )
 ORACLE["scenario_events"] = with_(f"SELECT * EXCLUDE (severity_score), {fx('severity_score')} AS severity_score FROM events_t", "events_t")
+
+from oracle import audits  # noqa: E402
+
+ORACLE.update(audits.SQL)
+
+from oracle import evaluation  # noqa: E402
+
+ORACLE.update(evaluation.SQL)

@@ -10,7 +10,8 @@ from tidepanel.functions.numeric import fixed
 from tidepanel.operators import effects, intervals, metrics, quality
 from tidepanel.operators import windows as W
 from tidepanel.operators.features import feature_columns, manifest_df
-from tidepanel.plans.registry import query, rounded
+from tidepanel.plans.registry import as_double, query, rounded
+from tidepanel.sources.storage import written
 
 EVENT_TYPES = [
     "chargeback_deterioration",
@@ -42,6 +43,7 @@ def _(d):
 
 @query("duplicate_counts")
 def _(d):
+    d.store("daily")
     return union(
         [
             quality.duplicate_count(d.dimension, ["merchant_id"], "merchants"),
@@ -54,6 +56,7 @@ def _(d):
 
 @query("null_counts")
 def _(d):
+    d.store("daily")
     # The pivoted label table is the one derived table with gaps: late days lack long horizons.
     wide = d.labels.groupBy("merchant_id", "as_of_date").pivot("horizon_days", [7, 14, 30]).agg(
         F.max("label_elevated_chargeback")
@@ -86,6 +89,7 @@ def _(d):
 
 @query("table_fingerprints")
 def _(d):
+    d.store("daily")
     return union(
         [quality.table_fingerprint(d.daily, "daily_observations"), quality.table_fingerprint(d.labels, "labels")]
     )
@@ -102,6 +106,7 @@ def _(d):
 
 @query("dataset_manifest")
 def _(d):
+    d.store("daily")
     counts = union(
         [
             d.daily.agg(F.count(F.lit(1)).alias("n_rows"), F.max("date").alias("max_date")).withColumn("table_name", F.lit("daily_observations")),
@@ -140,28 +145,33 @@ def _(d):
 
 @query("financial_ratios")
 def _(d):
+    d.store("daily")
     return rounded(quality.financial_ratios(d.daily, d.merchants))
 
 
 @query("tagged_days")
 def _(d):
+    d.store("daily")
     tagged = intervals.tag_active_event(d.daily.select("merchant_id", "date", "day_index"), d.events)
     return tagged.select("merchant_id", "date", "active_event_type", "active_event_category")
 
 
 @query("pooled_effects")
 def _(d):
+    d.store("daily")
     return rounded(effects.pooled_effects(intervals.tag_active_event(d.daily, d.events), d.merchants))
 
 
 @query("effects_by_category")
 def _(d):
+    d.store("daily")
     pooled = effects.pooled_effects(intervals.tag_active_event(d.daily, d.events), d.merchants)
     return rounded(effects.category_rollup(pooled))
 
 
 @query("growth_is_not_risk")
 def _(d):
+    d.store("daily")
     pooled = effects.pooled_effects(intervals.tag_active_event(d.daily, d.events), d.merchants)
     return rounded(effects.growth_is_not_risk(effects.category_rollup(pooled)))
 
@@ -229,38 +239,46 @@ def _(d):
 
 @query("liquidity_trend_by_category")
 def _(d):
+    d.store("daily")
     return rounded(effects.liquidity_trend(intervals.tag_active_event(d.daily, d.events), d.merchants))
 
 
 @query("event_aligned_rates")
 def _(d):
+    d.store("daily")
     return rounded(intervals.mean_rate_by_offset(intervals.aligned_chargeback_rate(d.daily, d.events)))
 
 
 @query("uplift_detection")
 def _(d):
-    return rounded(intervals.uplift_detection(intervals.aligned_chargeback_rate(d.daily, d.events)))
+    d.store("daily")
+    found = intervals.uplift_detection(intervals.aligned_chargeback_rate(d.daily, d.events))
+    return rounded(as_double(found, "detection_offset_days"))
 
 
 @query("warning_structure")
 def _(d):
+    d.store("daily")
     found = intervals.uplift_detection(intervals.aligned_chargeback_rate(d.daily, d.events))
-    return rounded(intervals.warning_structure(found))
+    return rounded(intervals.warning_structure(written(found, "detections")))
 
 
 @query("event_window_aggregates")
 def _(d):
+    d.store("daily")
     return rounded(intervals.event_window_aggregates(d.daily, d.events))
 
 
 @query("leakage_auc_baseline_rate")
 def _(d):
+    d.store("daily")
     joined = d.labels.join(d.merchants.select("merchant_id", "baseline_chargeback_rate"), "merchant_id")
     return rounded(metrics.roc_auc(joined, ["horizon_days"], "baseline_chargeback_rate"))
 
 
 @query("leakage_auc_risk_day")
 def _(d):
+    d.store("daily")
     tagged = intervals.tag_active_event(d.daily.select("merchant_id", "date", "day_index"), d.events)
     flags = tagged.select("merchant_id", "day_index", (F.col("active_event_category") == "risk").cast("double").alias("is_risk_day"))
     return rounded(metrics.roc_auc(d.labels.join(flags, ["merchant_id", "day_index"]), ["horizon_days"], "is_risk_day"))
@@ -283,6 +301,7 @@ def _difficulty_frame(d):
 
 @query("difficulty_auc")
 def _(d):
+    d.store("daily")
     columns = ["chargeback_rate", "gmv", "trailing_chargeback_rate_28d", "trailing_gmv_28d_mean"]
     long = quality.long_form(_difficulty_frame(d), ["horizon_days", "label_elevated_chargeback"], columns, "feature")
     return rounded(metrics.roc_auc(long, ["horizon_days", "feature"], "value"))
@@ -299,6 +318,7 @@ def _(d):
 def _(d):
     joined = d.labels.join(d.dimension.select("merchant_id", "archetype"), "merchant_id")
     # The encoding is a function of the group, so group counts are all the AUC needs.
+    # At most one row per horizon and archetype.
     groups = joined.groupBy("horizon_days", "archetype").agg(
         F.avg("label_elevated_chargeback").alias("rate"),
         F.sum("label_elevated_chargeback").alias("pos"),

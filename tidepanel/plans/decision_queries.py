@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import text
 from tidepanel.operators import decisions, lookups
 from tidepanel.operators.features import feature_columns, manifest_df
-from tidepanel.plans.registry import query, rounded
+from tidepanel.plans.registry import as_double, query, rounded
 from tidepanel.sources.panels import read
 
 # A transparent scorer over observed features, so decision tables can be checked by SQL.
@@ -54,7 +54,9 @@ def request_log(d):
 
 @query("resolve_dates")
 def _(d):
-    return lookups.resolve_day_index(request_log(d).select("request_id", "merchant_id", "date"), d.daily)
+    d.store("daily")
+    found = lookups.resolve_day_index(request_log(d).select("request_id", "merchant_id", "date"), d.daily)
+    return as_double(found, "day_index")
 
 
 @query("unknown_entities")
@@ -92,6 +94,7 @@ def _(d):
 
 @query("feature_vectors_long")
 def _(d):
+    d.store("daily")
     latest = d.features.join(lookups.latest_days(d.daily).select("merchant_id", "day_index"), ["merchant_id", "day_index"], "left_semi")
     return rounded(lookups.feature_long(latest, manifest_df(d.spark), feature_columns()).drop("definition"))
 
@@ -144,6 +147,7 @@ def _(d):
 
 @query("risk_assessment")
 def _(d):
+    d.store("daily")
     scored = _scores(d).join(decisions.exposure_estimate(d.daily, HORIZON).drop("day_index"), ["merchant_id", "date"])
     return rounded(
         scored.select(
@@ -162,11 +166,13 @@ def _(d):
 
 @query("control_listing")
 def _(d):
+    d.store("features")
     return rounded(decisions.list_controls(d.features))
 
 
 @query("scenario_validation")
 def _(d):
+    d.store("features")
     return rounded(decisions.validate_requests(request_log(d), d.features).drop("kind"))
 
 
@@ -181,6 +187,7 @@ def _valid_requests(d):
 
 @query("scenario_scores")
 def _(d):
+    d.store("daily", "features")
     return rounded(
         decisions.simulate(
             _valid_requests(d), d.features, decisions.exposure_estimate(d.daily, HORIZON), list(SCORE_WEIGHTS), linear_scorer, DECISION_THRESHOLD
@@ -200,6 +207,7 @@ def _(d):
 
 @query("relevant_rules_per_entity")
 def _(d):
+    d.store("daily")
     return decisions.relevant_rule_counts(d.features, lookups.latest_days(d.daily))
 
 
@@ -220,6 +228,7 @@ def _incidents(d):
 
 @query("incidents")
 def _(d):
+    d.store("daily", "features", "events")
     return rounded(decisions.summarize_incidents(_incidents(d)))
 
 
@@ -252,6 +261,7 @@ def _(d):
 
 @query("action_log")
 def _(d):
+    d.store("daily", "features")
     valid = decisions.validate_actions(action_requests(d), d.dimension, d.daily).where(F.col("error").isNull())
     impacts = decisions.simulate(
         _valid_requests(d), d.features, decisions.exposure_estimate(d.daily, HORIZON), list(SCORE_WEIGHTS), linear_scorer, DECISION_THRESHOLD

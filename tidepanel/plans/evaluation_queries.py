@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidepanel.operators import episodes, frames, intervals, metrics, quality, splits
 from tidepanel.operators.features import feature_columns
 from tidepanel.plans.evaluation import BASELINE_SIGNAL, baseline_predictions, roles_frame
-from tidepanel.plans.registry import query, rounded
+from tidepanel.plans.registry import as_double, query, rounded
+from tidepanel.sources.storage import written
 
 KEYS = ["horizon_days", "frame_role"]
 
@@ -97,13 +98,16 @@ def _(d):
 @query("baseline_lead_times")
 def _(d):
     test = baseline_predictions(d).where(F.col("frame_role") == "normal_test")
-    return episodes.warning_lead_times(test, keys=["horizon_days", "merchant_id"], horizon="horizon_days")
+    found = episodes.warning_lead_times(test, keys=["horizon_days", "merchant_id"], horizon="horizon_days")
+    return as_double(found, "lead_time_days", "offset_days")
 
 
 @query("baseline_lead_time_summary")
 def _(d):
     test = baseline_predictions(d).where(F.col("frame_role") == "normal_test")
-    found = episodes.warning_lead_times(test, keys=["horizon_days", "merchant_id"], horizon="horizon_days")
+    found = written(
+        episodes.warning_lead_times(test, keys=["horizon_days", "merchant_id"], horizon="horizon_days"), "lead_times"
+    )
     return rounded(episodes.lead_time_summary(found, ["horizon_days"]))
 
 
@@ -179,7 +183,9 @@ def _(d):
     brier = metrics.calibration_assessment(test, by, "probability").select("horizon_days", "brier_score")
     stress = p.where(F.col("frame_role") == "stress_test")
     stress_cls = metrics.threshold_metrics(metrics.confusion(stress, by)).select("horizon_days", F.col("recall").alias("stress_recall"))
-    found = episodes.warning_lead_times(test, keys=["horizon_days", "merchant_id"], horizon="horizon_days")
+    found = written(
+        episodes.warning_lead_times(test, keys=["horizon_days", "merchant_id"], horizon="horizon_days"), "lead_times"
+    )
     lead = episodes.lead_time_summary(found, by).select("horizon_days", "median_warning_lead_time_days", "n_episodes_total", "n_early_warning")
     out = cls
     for part in (rank, brier, stress_cls, lead):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepanel.operators.features import build_features
 from tidepanel.operators.labels import build_labels
 from tidepanel.sources import panels
+from tidepanel.sources.storage import written
 
 
 class Dataset:
@@ -16,6 +17,12 @@ class Dataset:
         self.spark, self.sf_dir, self.level = spark, sf_dir, level
         self._made: dict[str, DataFrame] = {}
 
+    def store(self, *names: str) -> "Dataset":
+        """Write the named tables once, for jobs that read them in several branches."""
+        for name in names:
+            self._made[name] = written(getattr(self, name), name)
+        return self
+
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
             self._made[name] = make()

@@ -35,3 +35,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema
         ]
     )
+
+
+def as_double(df: DataFrame, *columns: str) -> DataFrame:
+    """Integers that may be null leave as doubles, the one type with a null in every client."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
