@@ -34,3 +34,7 @@ ORACLE.update(audits.SQL)
 from oracle import evaluation  # noqa: E402
 
 ORACLE.update(evaluation.SQL)
+
+from oracle import decisions  # noqa: E402
+
+ORACLE.update(decisions.SQL)
