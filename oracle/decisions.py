@@ -328,3 +328,35 @@ _sp = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
 SQL["parsed_responses"] = f"""SELECT conv_id, turn, role, {_sp.format('text')} AS answer, len(actions) AS n_actions, array_to_string(actions, '|') AS actions
     FROM (SELECT *, CASE WHEN role = 'assistant' AND {_sp.format('text')} <> '' THEN list_transform(list_filter(list_transform(string_split(text, '. '), lambda x: {_sp.format('x')}), lambda x: x <> '')[1:4], lambda x: substr(x, 1, 200)) ELSE [] END AS actions
         FROM conversations)"""
+
+SQL["feature_manifest"] = with_(
+    "SELECT name, g AS \"group\", w AS \"window\", k AS kind, 'causal (uses only merchant_id, day_index<=t) — safe' AS leakage_status, n AS n_values FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS name, '{g}' AS g, '{w}' AS w, '{k}' AS k, count({f}) AS n FROM features" for f, (g, w, k) in META.items())
+    + ")",
+    "features",
+)
+_FORBIDDEN = [
+    "baseline_", "event_type", "event_id", "severity_score", "hard_negative", "elevation_ratio", "future_chargeback", "future_transaction", "label_elevated", "archetype",
+]
+_NAMES = ["merchant_id", "day_index", "date", "as_of_date", "business_tier"]
+_LABELS = [
+    "as_of_date", "horizon_days", "future_chargeback_amount", "future_chargeback_rate", "future_transaction_count", "baseline_daily_gmv_trailing",
+    "baseline_daily_chargeback_amount_trailing", "baseline_chargeback_rate_trailing", "elevation_ratio_amount", "elevation_ratio_rate", "label_elevated_chargeback",
+]
+SQL["feature_column_audit"] = with_(
+    f"""SELECT c AS column_name, array_to_string(list_filter({_FORBIDDEN!r}, lambda s: contains(c, s)), ',') AS matched_patterns, c IN {tuple(_NAMES)!r} AS forbidden_name,
+        len(list_filter({_FORBIDDEN!r}, lambda s: contains(c, s))) > 0 OR c IN {tuple(_NAMES)!r} AS violation, n AS n_values FROM ("""
+    + " UNION ALL ".join(
+        [f"SELECT '{c}' AS c, count({c}) AS n FROM features" for c in ["date", *FEATURES]] + [f"SELECT '{c}', count({c}) FROM labels_t" for c in _LABELS]
+    )
+    + ")",
+    "features", "labels_t",
+)
+_MISSING = [
+    "baseline_daily_gmv", "baseline_daily_txn_count", "baseline_aov", "baseline_refund_rate", "baseline_chargeback_rate", "baseline_fulfillment_delay_days",
+    "baseline_on_time_rate", "baseline_new_customer_rate", "baseline_pct_pay_card", "baseline_pct_pay_upi", "baseline_pct_pay_netbanking", "baseline_pct_pay_wallet",
+    "baseline_pct_pay_bnpl", "annual_growth_rate", "volatility_factor", "liquidity_buffer_days", "settlement_cycle_days",
+]
+SQL["schema_conformity"] = with_(
+    f"SELECT 'merchants' AS table_name, unnest({_MISSING!r}) AS column_name, 'missing' AS problem, (SELECT count(*) FROM dimension) AS n_rows", "dimension"
+)

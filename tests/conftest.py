@@ -10,11 +10,13 @@ sys.path.insert(0, ROOT)
 
 
 def make_session() -> SparkSession:
+    from tidepanel.session import configured
+
     session = (
-        SparkSession.builder.master("local[8]")
+        configured(SparkSession.builder)
+        .master("local[8]")
         .appName("tidepanel")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

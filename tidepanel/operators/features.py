@@ -160,13 +160,13 @@ def build_features(daily: DataFrame, dimension: DataFrame) -> DataFrame:
         *{n: None for n in SOURCE_COLUMNS},
     )
     rows_so_far = F.row_number().over(W.entity_order())
-    totals = W.trailing_totals(source, measures, sizes).select(
-        "*",
-        *[F.least(rows_so_far, F.lit(w)).alias(f"n_{w}") for w in SPANS],
-        W.trailing_std(F.col("gmv"), 28).alias("gmv_std_28"),
-        W.trailing_std(F.col("liquidity_balance"), 28).alias("liquidity_std_28"),
-        W.days_since_last_positive(F.col("chargeback_count")).cast("double").alias("days_since_last_chargeback"),
-    )
+    beside = {
+        **{f"n_{w}": F.least(rows_so_far, F.lit(w)) for w in SPANS},
+        "gmv_std_28": W.trailing_std(F.col("gmv"), 28),
+        "liquidity_std_28": W.trailing_std(F.col("liquidity_balance"), 28),
+        "days_since_last_chargeback": W.days_since_last_positive(F.col("chargeback_count")).cast("double"),
+    }
+    totals = W.trailing_totals(source, measures, sizes, beside)
     c = F.col
 
     def mean(name: str, w: int) -> Column:

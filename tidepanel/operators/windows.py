@@ -102,9 +102,16 @@ def first_difference(value: Column) -> Column:
     return value - F.lag(value).over(entity_order())
 
 
-def trailing_totals(df: DataFrame, measures: dict[str, Column], sizes: dict[str, list[int]]) -> DataFrame:
+def trailing_totals(
+    df: DataFrame,
+    measures: dict[str, Column],
+    sizes: dict[str, list[int]],
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
     """Add ``<name>_<w>`` trailing sums as doubles for every measure and window size.
 
+    ``extra`` holds further window expressions over ``df`` to be computed in the same pass.
+
     Integer and decimal measures go through running totals: the total at t minus the total
     at t-w costs O(1) per row whatever the window, and is exact because the running total
     is an integer.  Floating-point measures use a direct frame, where subtraction of running
@@ -121,8 +128,10 @@ def trailing_totals(df: DataFrame, measures: dict[str, Column], sizes: dict[str,
         ],
     )
     exact = [n for n in measures if scale[n]]
+    extra = extra or {}
     staged = prepared.select(
         *base,
+        *[c.alias(n) for n, c in extra.items()],
         *[F.sum(f"_{n}").over(so_far()).alias(f"_{n}_run") for n in exact],
         *[
             trailing_sum(F.col(f"_{n}"), w).alias(f"{n}_{w}")
@@ -138,7 +147,7 @@ def trailing_totals(df: DataFrame, measures: dict[str, Column], sizes: dict[str,
         for w in sizes[n]:
             units = run - F.coalesce(F.lag(run, w).over(entity_order()), F.lit(0))
             sums.append((units.cast("double") / float(scale[n])).alias(f"{n}_{w}"))
-    return staged.select(*base, *floats, *sums)
+    return staged.select(*base, *extra, *floats, *sums)
 
 
 def _integer_scale(kind: T.DataType) -> int | None:
