@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,22 @@ def injection_patterns(platform: str = DEFAULT_PLATFORM) -> list[str]:
     ]
 
 
+def _mentions(text: Column, phrases: list[str]) -> Column:
+    """Does the text hold any of the phrases?  Plain byte search, no regular expression."""
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
+
+
 def contains_injection(text: Column, platform: str = DEFAULT_PLATFORM) -> Column:
-    return text.rlike("(?i)" + "|".join(injection_patterns(platform)))
+    """Case-insensitive match of any pattern, over the whole text.
+
+    Every pattern holds one of the anchors, so texts without an anchor skip the regular
+    expression.  The long s folds to s, which lower() leaves alone.
+    """
+    anchors = [
+        "instructions", "prompt", "pretend", "act as", "you are now", "jailbreak", "bypass", "the dispute", "evidence", platform.lower(),
+    ]
+    folded = F.translate(F.lower(text), "\u017f", "s")
+    return _mentions(folded, anchors) & text.rlike("(?iu)" + "|".join(injection_patterns(platform)))
 
 
 # Limits on parsed follow-up actions.
@@ -100,11 +116,6 @@ INTENTS = {
 }
 
 
-def _mentions(text: Column, keywords: list[str]) -> Column:
-    # Keywords hold letters, blanks and hyphens only, so the alternation needs no quoting.
-    return text.rlike("|".join(keywords))
-
-
 def intent(question: Column, assistant: str = DEFAULT_ASSISTANT) -> Column:
     """Intent tag of a question; uses the has_incident and has_simulation columns."""
     text = F.lower(question)

@@ -36,13 +36,17 @@ class Dataset:
     def dimension(self) -> DataFrame:
         return self._once("dimension", lambda: panels.merchant_dimension(self.spark, self.sf_dir, self.level))
 
+    @property
+    def signups(self) -> DataFrame:
+        return self._once("signups", lambda: panels.merchant_signups(self.spark, self.sf_dir, self.level))
+
     @property
     def merchants(self) -> DataFrame:
         return self._once("merchants", lambda: panels.merchants(self.dimension, self.daily))
 
     @property
     def features(self) -> DataFrame:
-        return self._once("features", lambda: build_features(self.daily, self.dimension))
+        return self._once("features", lambda: build_features(self.daily, self.signups))
 
     @property
     def labels(self) -> DataFrame:

@@ -198,6 +198,16 @@ def panel(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
     ).select(*DAILY.fieldNames())
 
 
+def _signup_date() -> Column:
+    return F.date_sub(F.lit("1995-01-01").cast("date"), 60 + 10 * F.col("s_nationkey"))
+
+
+def merchant_signups(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
+    """(merchant_id, signup_date): all that the feature matrix may read about an entity."""
+    keys = read(spark, sf_dir, "supplier").select(_entity_key(level).alias("key"), "s_nationkey").distinct()
+    return keys.select(_entity_id(level, F.col("key")).alias("merchant_id"), _signup_date().alias("signup_date"))
+
+
 def merchant_dimension(spark: SparkSession, sf_dir: str, level: str = "nation") -> DataFrame:
     """Observable attributes only: id, archetype, tier, signup date, weekly profile."""
     suppliers = (
@@ -224,7 +234,7 @@ def merchant_dimension(spark: SparkSession, sf_dir: str, level: str = "nation")
         F.element_at(F.array(F.lit("small"), F.lit("mid"), F.lit("large")), (F.col("tercile") + 1).cast("int")).alias(
             "business_tier"
         ),
-        F.date_sub(F.lit("1995-01-01").cast("date"), 60 + 10 * F.col("s_nationkey")).alias("signup_date"),
+        _signup_date().alias("signup_date"),
         F.when(F.col("s_nationkey") % 2 == 0, "weekend_heavy").otherwise("weekday_heavy").alias(
             "weekly_seasonality_profile"
         ),
