@@ -51,24 +51,39 @@ def warning_lead_times(
     day numbers reaches the day before onset; its start is clipped to the horizon and to
     the first day of the frame.  ``horizon`` names a key column holding the horizon, for
     frames that stack several.
+
+    Each row carries the start of the alert run it continues, so an episode reads its lead
+    off its own onset row: episodes and alert runs are never paired.
     """
     keys = list(keys)
     h = F.col(horizon) if horizon else F.lit(horizon_days)
-    episodes = label_episodes(frame, keys, day, label)
-    alerts = (
-        runs_of(frame.where(F.col(predicted).cast("boolean")).select(*keys, day), keys, day)
-        .agg(F.min(day).alias("alert_start"), F.max(day).alias("alert_end"))
-        .drop("_run")
+    order = Window.partitionBy(*keys).orderBy(day)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    yes = F.col(predicted).cast("boolean")
+    follows_alert = (F.lag(day).over(order) == F.col(day) - 1) & F.lag(yes).over(order)
+    marked = frame.select(
+        *keys,
+        day,
+        label,
+        yes.alias("_yes"),
+        F.coalesce(follows_alert, F.lit(False)).alias("_follows"),
+        F.coalesce((F.lag(label).over(order) != F.col(label)).cast("long"), F.lit(1)).alias("_changed"),
+        F.min(day).over(Window.partitionBy(*keys)).alias("first_day"),
+    )
+    runs = marked.select(
+        "*",
+        F.sum("_changed").over(so_far).alias("_block"),
+        F.last(F.when(F.col("_yes") & ~F.col("_follows"), F.col(day)), ignorenulls=True).over(so_far).alias("_start"),
     )
-    # All alert runs of an entity meet its episodes; both sides are runs, bounded by the calendar.
-    leading = (F.col("alert_start") <= F.col("onset_day") - 1) & (F.col("onset_day") - 1 <= F.col("alert_end"))
-    inside = (F.col("alert_start") <= F.col("end_day")) & (F.col("alert_end") >= F.col("onset_day"))
     matched = (
-        episodes.join(alerts, keys, "left")
-        .groupBy(*keys, "onset_day", "end_day", "first_day")
+        runs.select("*", F.when(F.col("_follows"), F.lag("_start").over(order)).alias("_lead"))
+        .where(F.col(label) == 1)
+        .groupBy(*keys, "first_day", "_block")
         .agg(
-            F.min(F.when(leading, F.col("alert_start"))).alias("lead_start"),
-            F.min(F.when(inside, F.greatest("alert_start", "onset_day"))).alias("late_day"),
+            F.min(day).alias("onset_day"),
+            F.max(day).alias("end_day"),
+            F.min_by("_lead", day).alias("lead_start"),
+            F.min(F.when(F.col("_yes"), F.col(day))).alias("late_day"),
         )
     )
     lookback = F.greatest(F.col("onset_day") - h, F.col("first_day"))
