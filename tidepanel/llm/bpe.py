@@ -254,8 +254,8 @@ def decoded(tokens: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return out.select(given_id().alias("doc_id"), "bytes")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Encode and decode every row in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode every row in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids)."""
     blob = _shipped(docs.sparkSession, vocabulary)
 
     def make():
@@ -265,9 +265,11 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         def one(i, text):
             ids = coder.encode(text)
             written = ",".join(map(digits.__getitem__, ids)).encode()
-            return i, len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+            digests = hashlib.sha256(written).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+            return (i, len(ids), *digests, *([ids] if with_ids else []))
 
         return one
 
-    out = mapped(identified(docs, "text"), make, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select(given_id().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = mapped(identified(docs, "text"), make, schema)
+    return out.select(given_id().alias("doc_id"), *out.columns[1:])

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe
+from pyspark.sql import functions as F
+
+from tidepanel.llm import bpe, decontaminate, language, line_index, simhash
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +23,58 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of all documents."""
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a smaller document already has."""
+    out = line_index.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op5_line_dedup"] = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+    FROM documents
+), keyed AS (
+    SELECT doc_id, pos, line,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), shared AS (
+    SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10
+    GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), marked AS (
+    SELECT k.doc_id, k.pos, k.line, s.owner IS NOT NULL AND s.owner <> k.doc_id AS lost
+    FROM keyed k LEFT JOIN shared s ON s.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two folds of three."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language.fold() == 1, F.lit(False))
+    model = language.fit(docs, ~held & F.col("doc_id").isNotNull())
+    out = language.identify(docs, model)
+    return out.select("doc_id", F.coalesce(language.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item within its edit budget in every document."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
