@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontaminate, language, line_index, rules, simhash
+from tidepanel.llm import bpe, decontaminate, language, line_index, rules, shards, simhash, warc
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, the base rule and the learned list."""
     docs = table(spark, sf_dir, "documents")
     return rules.judged(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards of even row counts."""
+    return shards.sharded(table(spark, sf_dir, "documents"))
