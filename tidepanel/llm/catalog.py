@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontaminate, language, line_index, rules, shards, simhash, warc
+from tidepanel.llm import bpe, decontaminate, language, line_index, rules, secret_scan, shards, simhash, warc
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in forty shards of even row counts."""
     return shards.sharded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scanned(docs, secret_scan.train(docs))
