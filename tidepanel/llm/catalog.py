@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontaminate, language, line_index, rules, secret_scan, shards, simhash, warc
+from tidepanel.llm import bpe, decontaminate, html_text, language, line_index, rules, secret_scan, shards, simhash, warc
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scanned(docs, secret_scan.train(docs))
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
