@@ -28,7 +28,6 @@ from tidepanel.llm.common import given_id, identified
 from tidepanel.llm.dom import BLOCKS, RAW, Node, parse
 
 PAGES_AT_ONCE = 64
-MAX_TOKENS = 160
 
 # Tags with a feature of their own.
 TAGS = (
@@ -41,7 +40,7 @@ _FLAG_INDEX = {t: i for i, t in enumerate(_FLAGS)}
 _NAMING = ("class", "id", "role", "itemprop", "aria-label", "data-component", "name")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _STOPS = re.compile(r"[.,;:!?]")
-_NUMBERS = 19
+_NUMBERS, _TOKEN_NUMBERS = 19, 6
 
 
 class Unit:
@@ -158,12 +157,13 @@ def units(root: Node) -> list[Unit]:
     return out
 
 
-def table_of(found: list[Unit], vocabulary: dict[str, int]) -> np.ndarray:
-    """A row of features per unit."""
-    width = _NUMBERS + len(TAGS) + len(_FLAGS) + len(vocabulary) + 1
+def table_of(found: list[Unit], odds: dict[str, float]) -> np.ndarray:
+    """A row of features per unit; ``odds`` holds for attribute tokens how much they speak for main text."""
+    width = _NUMBERS + _TOKEN_NUMBERS + len(TAGS) + len(_FLAGS)
     x = np.zeros((len(found), width), np.float32)
     page = found[0].size + 1
     numbers = []
+    lowest: dict[int, float] = {}  # over a unit and all around it
     for row, u in enumerate(found):
         parent = u.parent or u
         kids = parent.kids
@@ -176,16 +176,19 @@ def table_of(found: list[Unit], vocabulary: dict[str, int]) -> np.ndarray:
              before.size if before else -1, after.size if after else -1, before.linked / (before.size + 1) if before else -1,
              len(u.kids), parent.linked / (parent.size + 1))
         )
+        known = [odds[t] for t in u.tokens if t in odds]
+        above = lowest[id(u.parent)] if u.parent else 0.0
+        lowest[id(u)] = min([above, *known])
+        x[row, _NUMBERS : _NUMBERS + _TOKEN_NUMBERS] = (
+            min(known, default=0), max(known, default=0), sum(known), len(known), len(u.tokens) - len(known), above
+        )
         if u.tag in _TAG_INDEX:
-            x[row, _NUMBERS + _TAG_INDEX[u.tag]] = 1
-        flags, at = parent.flags if u.parent else 0, _NUMBERS + len(TAGS)
+            x[row, _NUMBERS + _TOKEN_NUMBERS + _TAG_INDEX[u.tag]] = 1
+        flags, at = parent.flags if u.parent else 0, _NUMBERS + _TOKEN_NUMBERS + len(TAGS)
         while flags:
             low = flags & -flags
             x[row, at + low.bit_length() - 1] = 1
             flags ^= low
-        at += len(_FLAGS)
-        for token in u.tokens:
-            x[row, at + vocabulary.get(token, len(vocabulary))] = 1
     x[:, :_NUMBERS] = numbers
     return x
 
@@ -213,12 +216,12 @@ def decode(found: list[Unit], inside: np.ndarray) -> np.ndarray:
 
 
 class Extractor:
-    def __init__(self, trees: boosting.Trees, vocabulary: dict[str, int]):
-        self.trees, self.vocabulary = trees, vocabulary
+    def __init__(self, trees: boosting.Trees, odds: dict[str, float]):
+        self.trees, self.odds = trees, odds
 
     def texts(self, pages: list[str | None]) -> list[str]:
         parsed = [units(parse(page or "")) for page in pages]
-        tables = [table_of(found, self.vocabulary) for found in parsed]
+        tables = [table_of(found, self.odds) for found in parsed]
         inside = self.trees.probability(np.concatenate(tables)) if tables else np.zeros(0)
         out, at = [], 0
         for found in parsed:
@@ -363,8 +366,8 @@ class _Maker:
                 self.inline(self.node("pre", box), True, self.some(1, 40))
             else:
                 self.inline(self.node("div", box), True, self.size())
-            if self.chance(0.05):
-                self.around(self.pick(["advert", "advert", "notice", "social", "sidebar", "menu", "form"]), box)
+            if self.chance(0.12):
+                self.around(self.pick(["advert", "advert", "notice", "social", "sidebar", "menu", "form", "comments"]), box)
 
     def main(self, parent: Node) -> None:
         tag = self.pick(["article", "article", "article", "main", "div", "div", "section", "td", ""])
@@ -377,7 +380,7 @@ class _Maker:
             holder = self.node("header", box) if tag == "article" and self.chance(0.15) else box
             title = self.words(self.some(1, 20))
             self.node("h1" if self.chance(0.9) else "h2", holder).parts.append(Kept(title))
-            if self.chance(0.2):  # short pages, and pages that repeat their title
+            if self.chance(0.3):  # short pages, and pages that repeat their title
                 for _ in range(self.some(1, 2)):
                     self.node("p", box).parts.append(Kept(title if self.chance(0.5) else self.words(self.some(1, 20))))
                 if self.chance(0.6):
@@ -409,16 +412,21 @@ def train(pages: int = 900, seed: int = 5) -> Extractor:
     """Trees from ``pages`` generated pages; the same for the same seed."""
     maker = _Maker(seed)
     made = [units(maker.page()) for _ in range(pages)]
-    counts: dict[str, int] = {}
-    for found in made:
+    halves = [token_odds(made[k::2]) for k in (0, 1)]
+    # A page's own labels must not speak through its tokens: each half uses the other half's odds.
+    x = np.concatenate([table_of(found, halves[1 - k % 2]) for k, found in enumerate(made)])
+    y = np.array([u.kept for found in made for u in found], float)
+    return Extractor(boosting.fit(x, y, 1 + y), token_odds(made))  # losing main text weighs twice
+
+
+def token_odds(pages: list[list[Unit]], least: int = 3) -> dict[str, float]:
+    """Smoothed log odds that a unit with an attribute token holds main text, for tokens seen often enough."""
+    counts: dict[str, list[int]] = {}
+    for found in pages:
         for u in found:
             for t in u.tokens:
-                counts[t] = counts.get(t, 0) + 1
-    known = sorted(counts, key=lambda t: (-counts[t], t))[:MAX_TOKENS]
-    vocabulary = {t: i for i, t in enumerate(known)}
-    x = np.concatenate([table_of(found, vocabulary) for found in made])
-    y = np.array([u.kept for found in made for u in found], float)
-    return Extractor(boosting.fit(x, y, 1 + y), vocabulary)  # losing main text weighs twice
+                counts.setdefault(t, [0, 0])[u.kept] += 1
+    return {t: float(np.log((kept + 1) / (out + 1))) for t, (out, kept) in sorted(counts.items()) if out + kept >= least}
 
 
 def extracted(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
