@@ -1,8 +1,8 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints of 64 bits are cut into three segments.  If two differ in at most four bits, they
-differ in at most one bit within the first or the second segment, or agree in the third (4 = 1 + 1
-+ 0 + the two bits that exceed the three limits by pigeonhole: 2 + 2 + 1 > 4).  So each fingerprint
+differ in at most one bit within the first or the second segment, or agree in the third, as
+otherwise they would differ in at least 2 + 2 + 1 = 5 bits.  So each fingerprint
 enumerates the Hamming ball of radius one around its first and second segment, looks these up in
 tables keyed by the segment, and every match is verified on all 64 bits.
 
@@ -80,12 +80,13 @@ def _tables(nodes: DataFrame, *columns: str) -> DataFrame:
 
 def _probes(nodes: DataFrame, *columns: str) -> DataFrame:
     """One row per fingerprint, table and segment value within the table's radius."""
-    keys = []
-    for k, (low, size, radius) in enumerate(SEGMENTS):
+
+    def ball(number: int, low: int, size: int, radius: int) -> Column:
         value = _segment(F.col("bits"), low, size)
-        flips = [0, *[1 << i for i in range(size)]] if radius else [0]
-        ball = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, value=value: value.bitwiseXOR(x))
-        keys.append(F.transform(ball, lambda v, k=k: F.struct(F.lit(k).alias("t"), v.alias("v"))))
+        flips = F.array(*[F.lit(x).cast("long") for x in (0, *[1 << i for i in range(size * radius)])])
+        return F.transform(flips, lambda x: F.struct(F.lit(number).alias("t"), value.bitwiseXOR(x).alias("v")))
+
+    keys = [ball(k, *segment) for k, segment in enumerate(SEGMENTS)]
     return nodes.select("bits", *columns, F.inline(F.concat(*keys)))
 
 
