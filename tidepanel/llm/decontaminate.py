@@ -173,13 +173,15 @@ def uncontaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no test item is within its budget."""
     for block in blocks(items, "item_id", block_words):
-        shipped = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block), similarity)("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], shipped=shipped) -> Iterator[pd.Series]:
-            matcher = Matcher(shipped.value, similarity)
-            for part in texts:
-                yield pd.Series([not matcher.find(text) for text in part], dtype=bool)
 
-        docs = docs.where(clean("text"))
-    return docs
+def _clean(block, similarity: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block.value, similarity)
+        for part in texts:
+            yield pd.Series([not matcher.find(text) for text in part], dtype=bool)
+
+    return clean
