@@ -140,7 +140,7 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes, bytes]:
     headers: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip():
+        if not colon or name.split() != [name]:
             raise BadArchive(f"header line {line[:60]!r}")
         headers[name.lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
