@@ -39,9 +39,9 @@ def with_(select: str, *needs: str) -> str:
 
 
 def fx(expr: str, digits: int = 6) -> str:
-    """Half-up rounding by plain floating-point arithmetic."""
+    """Half-up rounding by plain floating-point arithmetic; larger values have no such digits."""
     s = float(10**digits)
-    return f"(floor(({expr}) * {s!r} + 0.500001) / {s!r})"
+    return f"(CASE WHEN abs({expr}) < {2.0**53 / s!r} THEN floor(({expr}) * {s!r} + 0.500001) / {s!r} ELSE ({expr})::DOUBLE END)"
 
 
 def fixed_list(names, digits: int = 6) -> str:

@@ -49,10 +49,12 @@ def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Co
 def fixed(value: Column, digits: int = 6) -> Column:
     """Half-up rounding by plain IEEE arithmetic; ties are recognised to within float noise.
 
-    Engines that sum in another order then still round alike, and -0.0 becomes 0.0.
+    Engines that sum in another order then still round alike, and -0.0 becomes 0.0.  Null, NaN and
+    the infinities stay what they are, and so do values too large to have that many digits.
     """
     scale = float(10**digits)
-    return F.floor(value * F.lit(scale) + F.lit(0.500001)).cast("double") / F.lit(scale)
+    rounded = F.floor(value * F.lit(scale) + F.lit(0.500001)).cast("double") / F.lit(scale)
+    return F.when(F.abs(value) < F.lit(2.0**53 / scale), rounded).otherwise(value)
 
 
 def count_where(condition: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,7 @@ DEFAULT_ASSISTANT = "the assistant"
 
 
 def injection_patterns(platform: str = DEFAULT_PLATFORM) -> list[str]:
+    platform = re.escape(platform)
     # Phrases that mark an attempt to override the assistant.
     return [
         r"ignore (all |any )?(the |your )?previous instructions",
@@ -44,14 +46,15 @@ def _mentions(text: Column, phrases: list[str]) -> Column:
 def contains_injection(text: Column, platform: str = DEFAULT_PLATFORM) -> Column:
     """Case-insensitive match of any pattern, over the whole text.
 
-    Every pattern holds one of the anchors, so texts without an anchor skip the regular
-    expression.  The long s folds to s, which lower() leaves alone.
+    Every pattern but those with the platform's name holds one of the anchors, so texts without an
+    anchor skip the regular expression.  The four letters outside ASCII that match an ASCII letter
+    without regard to case are folded first, before lower() can split one of them in two.
     """
-    anchors = [
-        "instructions", "prompt", "pretend", "act as", "you are now", "jailbreak", "bypass", "the dispute", "evidence", platform.lower(),
-    ]
-    folded = F.translate(F.lower(text), "\u017f", "s")
-    return _mentions(folded, anchors) & text.rlike("(?iu)" + "|".join(injection_patterns(platform)))
+    anchors = ["instructions", "prompt", "pretend", "act as", "you are now", "jailbreak", "bypass", "the dispute", "evidence"]
+    folded = F.lower(F.translate(text, "\u0131\u0130\u017f\u212a", "iisk"))
+    matches = text.rlike("(?iu)" + "|".join(injection_patterns(platform)))
+    # A name may fold in ways of its own: only a plain one can serve as an anchor.
+    return _mentions(folded, [*anchors, platform.lower()]) & matches if platform.isascii() else matches
 
 
 # Limits on parsed follow-up actions.
