@@ -2,11 +2,12 @@
 
 A rank, a percentile or a ROC curve needs running totals over all values in order.  A
 window with no partition key would pull every distinct value into one task.  Instead each
-value is put in a cell by a fixed monotone function of the value; cells have a bounded
-number (independent of the data), so the cell totals can be accumulated by one small
-window, and the window over the values themselves is partitioned by cell.  Equal values
-are collapsed by an aggregation first, so a value shared by a third of all rows is one row
-by the time anything is ordered.
+key's distinct values are cut into cells at their own approximate quantiles, so that cells are
+even whatever the distribution.  Cells have a bounded number (independent of the data), so the
+cell totals can be accumulated by one small window, and the window over the values themselves is
+partitioned by cell.  Where the cuts lie has no influence on the result.  Equal values are
+collapsed by an aggregation first, so a value shared by a third of all rows is one row by the
+time anything is ordered.
 """
 
 from __future__ import annotations
@@ -16,14 +17,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS_PER_E_FOLD = 400
-CELL_RESOLUTION = 1e6
+#: Cells per key are the square of this; a value finds its cell in two steps over so many cuts.
+CELL_ROOT = 16
+QUANTILE_ACCURACY = 10_000
 
 
-def order_cell(value: Column) -> Column:
-    """Monotone map of a number to a cell: fine near zero, logarithmic further out."""
+def cell_cuts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(keys, _cuts): approximate quantiles of each key's rows, one row per key."""
+    steps = [i / CELL_ROOT**2 for i in range(1, CELL_ROOT**2)]
+    return df.groupBy(*keys).agg(
+        F.sort_array(F.percentile_approx(F.col(order).cast("double"), steps, QUANTILE_ACCURACY)).alias("_cuts")
+    )
+
+
+def order_cell(value: Column, cuts: Column) -> Column:
+    """How many of the sorted ``cuts`` lie below a value, looked up first in steps and then within one."""
     v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * F.lit(CELL_RESOLUTION)) * F.lit(float(CELLS_PER_E_FOLD)))
+    coarse = F.filter(cuts, lambda _, i: i % CELL_ROOT == CELL_ROOT - 1)
+    step = F.size(F.filter(coarse, lambda c: c < v)) * CELL_ROOT
+    return step + F.size(F.filter(F.slice(cuts, step + 1, CELL_ROOT - 1), lambda c: c < v))
 
 
 def running_totals(
@@ -34,7 +46,10 @@ def running_totals(
     ``df`` must hold one row per (keys, order).
     """
     keys = list(keys)
-    celled = df.withColumn("_cell", order_cell(F.col(order)))
+    cuts = cell_cuts(df, keys, order)
+    # Without keys the one row of cuts is a scalar; with keys Spark decides how to join one row per key.
+    given = df.join(cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
+    celled = given.withColumn("_cell", order_cell(F.col(order), F.col("_cuts"))).drop("_cuts")
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     below = by_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
