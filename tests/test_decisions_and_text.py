@@ -85,8 +85,18 @@ def _requests(spark, rows):
 
 def test_request_validation(spark):
     r = _requests(spark, [(30, 0.2, None, None), (30, None, None, None), (7, 0.2, None, None), (30, 0.9, 0.1, 0.3), (30, 0.3, 0.5, None)])
-    got = [x["error"] for x in decisions.validate_requests(r, _features(spark)).orderBy("request_id").collect()]
-    assert got == [None, "no_intervention", "unsupported_horizon", "out_of_range:refund_rate_28d,fulfillment_on_time_rate_28d", None]
+    elsewhere = _requests(spark, [(30, 0.9, None, None), (30, 0.9, None, None), (30, None, None, None)]).withColumns(
+        {
+            "request_id": F.col("request_id") + 5,
+            "merchant_id": F.when(F.col("request_id") == 0, "x").otherwise("m"),
+            "date": F.when(F.col("request_id") == 1, F.date_add("date", 50)).otherwise(F.col("date")),
+        }
+    )
+    got = [x["error"] for x in decisions.validate_requests(r.union(elsewhere), _features(spark)).orderBy("request_id").collect()]
+    assert got == [
+        None, "no_intervention", "unsupported_horizon", "out_of_range:refund_rate_28d,fulfillment_on_time_rate_28d", None,
+        "merchant_not_found", "date_not_available", "no_intervention",
+    ]
 
 
 def test_unchanged_controls_are_dropped(spark):
@@ -120,6 +130,7 @@ def test_action_validation_and_log(spark, tmp_path):
         (10, "M1", "M1:refund_rate_28d:2024-01-01", "simulated", sim),
         (11, "M1", "M1:refund_rate_28d:2024-01-01", "ignored", None),
         (12, "M9", "M9:refund_rate_28d:2024-01-01", "reviewed", None),
+        (13, "M1", "M1:refund_rate_28d:2024-01-01", "simulated", (day(0), 0.9, None, None)),
     ]
     actions = spark.createDataFrame(
         rows,
@@ -128,11 +139,13 @@ def test_action_validation_and_log(spark, tmp_path):
     )
     daily = panel(spark, [dict()] * 3)
     known = spark.createDataFrame([("M1",)], "merchant_id string")
-    checked = decisions.validate_actions(actions, known, daily)
+    features = _features(spark)
+    checked = decisions.validate_actions(actions, known, daily, features)
     got = {r["request_id"]: r["error"] for r in checked.collect()}
     assert got == {
         0: None, 1: "malformed_id", 2: "entity_mismatch", 3: "unknown_control", 4: "invalid_date", 5: "date_not_available", 6: "simulation_required",
         7: "simulation_not_applicable", 8: "simulation_date_mismatch", 9: "simulation_control_mismatch", 10: None, 11: "invalid_status", 12: "merchant_not_found",
+        13: "simulation:out_of_range:refund_rate_28d",
     }
     path = str(tmp_path / "log")
     for _ in range(2):

@@ -174,25 +174,40 @@ def changed_controls(requests: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def validate_requests(requests: DataFrame, features: DataFrame) -> DataFrame:
-    """Add ``error``: null for a valid scenario request.
-
-    Bounds come from scalar subqueries over one aggregate, so requests are not shuffled.
-    """
+def _request_error(
+    horizon: Column, controls: dict[str, Column], features: DataFrame, entity_known: Column, day_known: Column
+) -> Column:
+    """The first rule that a scenario breaks; bounds come from scalar subqueries over one aggregate."""
     extremes = features.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in CONTROLS])
     none_set = F.lit(True)
     out_of_range = []
-    for c in CONTROLS:
+    for c, value in controls.items():
         bounds = extremes.select(c).scalar()
-        none_set = none_set & F.col(c).isNull()
-        out_of_range.append(F.when(~F.col(c).between(bounds["lo"], bounds["hi"]), F.lit(c)))
+        none_set = none_set & value.isNull()
+        out_of_range.append(F.when(~value.between(bounds["lo"], bounds["hi"]), F.lit(c)))
     bad = F.array_compact(F.array(*out_of_range))
-    error = (
-        F.when(~F.coalesce(F.col("horizon_days").isin(SUPPORTED_HORIZONS), F.lit(False)), "unsupported_horizon")
+    return (
+        F.when(~F.coalesce(horizon.isin(SUPPORTED_HORIZONS), F.lit(False)), "unsupported_horizon")
         .when(none_set, "no_intervention")
+        .when(~entity_known, "merchant_not_found")
+        .when(~day_known, "date_not_available")
         .when(F.size(bad) > 0, F.concat(F.lit("out_of_range:"), F.array_join(bad, ",")))
     )
-    return requests.withColumn("error", error)
+
+
+def validate_requests(requests: DataFrame, features: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
+    """Add ``error``: null for a valid scenario request, which :func:`simulate` then has a row for.
+
+    Entities are known if ``dimension`` lists them (without one, if they have features); a date is
+    available if the entity has features on it.
+    """
+    listed = (features if dimension is None else dimension).select("merchant_id", F.lit(True).alias("_known")).distinct()
+    days = features.select("merchant_id", "date", F.lit(True).alias("_day"))
+    found = requests.join(days, ["merchant_id", "date"], "left").join(listed, "merchant_id", "left")
+    error = _request_error(
+        F.col("horizon_days"), {c: F.col(c) for c in CONTROLS}, features, F.col("_known").isNotNull(), F.col("_day").isNotNull()
+    )
+    return found.withColumn("error", error).select(*requests.columns, "error")
 
 
 def relative_change(current: Column, simulated: Column) -> Column:
@@ -622,11 +637,17 @@ def summarize_incidents(nested: DataFrame) -> DataFrame:
 ACTION_STATUSES = ["reviewed", "simulated", "acknowledged", "dismissed"]
 
 
-def validate_actions(actions: DataFrame, dimension: DataFrame, daily: DataFrame) -> DataFrame:
+# The horizon of a simulation that states none.
+DEFAULT_HORIZON = 30
+
+
+def validate_actions(actions: DataFrame, dimension: DataFrame, daily: DataFrame, features: DataFrame) -> DataFrame:
     """Add the parsed id and ``error`` (null when valid) to a batch of action records.
 
     Actions carry merchant_id, intervention_id (entity:control:date), action_status and an
-    optional ``simulation`` struct with ``as_of_date`` and the control columns.
+    optional ``simulation`` struct with ``as_of_date``, the control columns and ``horizon_days``
+    (30 where the struct has no such field).  A simulated action whose scenario could not be run
+    is an error, so that every logged simulation has its impact.
     """
     parts = F.split("intervention_id", ":")
     parsed = actions.withColumns(
@@ -645,6 +666,10 @@ def validate_actions(actions: DataFrame, dimension: DataFrame, daily: DataFrame)
         *[F.when((F.col("control_id") == c) & F.col(f"simulation.{c}").isNotNull(), F.lit(True)) for c in CONTROLS],
         F.lit(False),
     )
+    stated = "horizon_days" in actions.schema["simulation"].dataType.fieldNames()
+    horizon = F.col("simulation.horizon_days") if stated else F.lit(DEFAULT_HORIZON)
+    controls = {c: F.col(f"simulation.{c}") for c in CONTROLS}
+    scenario = _request_error(horizon, controls, features, F.lit(True), F.lit(True))
     error = (
         F.when(F.col("_n") != 3, "malformed_id")
         .when(F.col("_entity") != F.col("merchant_id"), "entity_mismatch")
@@ -657,10 +682,14 @@ def validate_actions(actions: DataFrame, dimension: DataFrame, daily: DataFrame)
         .when(~simulated & F.col("simulation").isNotNull(), "simulation_not_applicable")
         .when(simulated & (F.col("simulation.as_of_date") != F.col("date")), "simulation_date_mismatch")
         .when(simulated & ~control_set, "simulation_control_mismatch")
+        .when(simulated & scenario.isNotNull(), F.concat(F.lit("simulation:"), scenario))
     )
     return known.withColumn("error", error).drop("_n", "_entity", "_text_date", "_known", "_day")
 
 
+OUTCOME_NOTE = "What followed this action was not observed: the data end with the action, so no effect of it is on record."
+
+
 def action_log(valid: DataFrame, impacts: DataFrame | None = None, request_id: str = "request_id") -> DataFrame:
     """Log records for valid actions; ``impacts`` is the output of :func:`simulate` for them."""
     titles = F.create_map(*[x for c, (_, _, title) in RULES.items() for x in (F.lit(c), F.lit(title))])
@@ -668,6 +697,8 @@ def action_log(valid: DataFrame, impacts: DataFrame | None = None, request_id: s
         {
             "recommendation_title": titles[F.col("control_id")],
             "outcome_status": F.lit("not_observed"),
+            "outcome_note": F.lit(OUTCOME_NOTE),
+            "timestamp": F.current_timestamp(),
         }
     )
     if impacts is None:
