@@ -11,7 +11,7 @@ from tidepanel.sources.storage import written
 
 
 class Dataset:
-    """Lazy derived tables over one data directory; nothing runs until a query is collected."""
+    """Derived tables over one data directory; lazy, but for those that ``store`` writes at once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, level: str = "nation"):
         self.spark, self.sf_dir, self.level = spark, sf_dir, level
