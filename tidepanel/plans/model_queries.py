@@ -12,7 +12,7 @@ from tidepanel.operators.features import feature_columns, manifest, manifest_df
 from tidepanel.operators.metrics import LABEL
 from tidepanel.plans.decision_queries import HORIZON
 from tidepanel.plans.registry import query, rounded
-from tidepanel.plans.training import ID_COLUMNS, SMALL_BOOSTING, SMALL_FOREST, calibrated_forest, evaluate, fit_all, model_frame, role, score_all
+from tidepanel.plans.training import ID_COLUMNS, SMALL_BOOSTING, SMALL_FOREST, calibrated_forest, evaluate, fit_all, model_frame, model_frames, role, score_all
 from tidepanel.sources.storage import written
 
 KEYS = ["merchant_id", "as_of_date", "day_index"]
@@ -20,8 +20,9 @@ KEYS = ["merchant_id", "as_of_date", "day_index"]
 
 @query("model_comparison")
 def _(d):
-    frame = model_frame(d, HORIZON)
-    return rounded(evaluate(score_all(frame, fit_all(frame, SMALL_FOREST, SMALL_BOOSTING))))
+    """Three models at every horizon."""
+    scored = [score_all(frame, fit_all(frame, SMALL_FOREST, SMALL_BOOSTING)) for frame in model_frames(d).values()]
+    return rounded(evaluate(reduce(DataFrame.unionByName, scored)))
 
 
 @query("shortcut_audit")
@@ -44,20 +45,26 @@ def _(d):
 
 @query("forest_importances")
 def _(d):
-    frame = model_frame(d, HORIZON)
-    model = models.fit_forest(role(frame, "train"), feature_columns(), **SMALL_FOREST)
-    return models.importances(model, feature_columns(), "random_forest", d.spark)
+    parts = []
+    for horizon, frame in model_frames(d).items():
+        model = models.fit_forest(role(frame, "train"), feature_columns(), **SMALL_FOREST)
+        ranked = models.importances(model, feature_columns(), "random_forest", d.spark)
+        parts.append(ranked.withColumn("horizon_days", F.lit(horizon)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("forecast_comparison")
 def _(d):
-    """Naive persistence against a forest on log1p of the amount."""
-    frame = model_frame(d, HORIZON)
-    model = models.fit_regression_forest(role(frame, "train"), feature_columns(), "future_chargeback_amount", **SMALL_FOREST)
-    test = models.predict_amount(model, role(frame, "normal_test")).withColumn(
+    """Naive persistence against a forest on log1p of the amount, at every horizon."""
+    parts = []
+    for frame in model_frames(d).values():
+        model = models.fit_regression_forest(role(frame, "train"), feature_columns(), "future_chargeback_amount", **SMALL_FOREST)
+        parts.append(models.predict_amount(model, role(frame, "normal_test")))
+    test = reduce(DataFrame.unionByName, parts).withColumn(
         "naive", F.col("baseline_daily_chargeback_amount_trailing") * F.col("horizon_days")
     )
     both = test.select(
+        "horizon_days",
         "future_chargeback_amount",
         F.explode(
             F.array(
@@ -65,8 +72,8 @@ def _(d):
                 F.struct(F.lit("random_forest").alias("model"), F.col("forecast").alias("value")),
             )
         ).alias("m"),
-    ).select("future_chargeback_amount", "m.*")
-    return rounded(metrics.regression_metrics(both, ["model"], "future_chargeback_amount", "value"), 4)
+    ).select("horizon_days", "future_chargeback_amount", "m.*")
+    return rounded(metrics.regression_metrics(both, ["model", "horizon_days"], "future_chargeback_amount", "value"), 4)
 
 
 @query("calibration_comparison")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import episodes, metrics, models, splits
 from tidepanel.operators.features import feature_columns
+from tidepanel.operators.labels import HORIZONS
 from tidepanel.operators.metrics import LABEL
 from tidepanel.plans.evaluation import roles_frame
 from tidepanel.plans.inputs import Dataset
@@ -22,8 +24,14 @@ ID_COLUMNS = ["merchant_id", "archetype", "as_of_date", "day_index", "horizon_da
 
 def model_frame(d: Dataset, horizon_days: int) -> DataFrame:
     """All roles of one horizon with all features, written once: every fit reads it many times."""
-    frame = roles_frame(d, feature_columns()).where(F.col("horizon_days") == horizon_days)
-    return written(frame.select(*ID_COLUMNS, *feature_columns()), f"frame_{horizon_days}")
+    return model_frames(d, [horizon_days])[horizon_days]
+
+
+def model_frames(d: Dataset, horizons: Sequence[int] = HORIZONS) -> dict[int, DataFrame]:
+    """The frame of each horizon, all written in one pass over the panel."""
+    frame = roles_frame(d, feature_columns()).where(F.col("horizon_days").isin(list(horizons)))
+    frame = written(frame.select(*ID_COLUMNS, *feature_columns()), "frames")
+    return {h: frame.where(F.col("horizon_days") == h) for h in horizons}
 
 
 def role(frame: DataFrame, name: str) -> DataFrame:
