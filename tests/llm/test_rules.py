@@ -21,7 +21,7 @@ def test_statistics_equal_brute_force(spark):
     draw = random.Random(1)
     pieces = ["a", "b", "c d", "e|f", "é x", "🙂", "\n", " ", "\t", "a b c\n", "a b c", "\x0b", "#", "\x1c"]
     rows = [(k, " ".join(draw.choice(pieces) for _ in range(draw.randrange(60)))) for k in range(300)]
-    got = rules.judged(docs(spark, rows).union(awkward(spark)), rules.DecisionList(())).collect()
+    got = rules.judged(rules.statistics(docs(spark, rows).union(awkward(spark))), rules.DecisionList(())).collect()
     want = sorted((str(i), *slow(t)) for i, t in rows + [(r.doc_id, r.text) for r in awkward(spark).collect()])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert sorted((str(r.doc_id), *[r[n] for n in names]) for r in got) == want
@@ -48,24 +48,24 @@ def labelled(spark, seed, n=400):
 def test_learned_list_separates_held_out_rows(spark):
     data, labels = labelled(spark, 1)
     schema = "doc_id long, quality int"
-    made = rules.learn(data, spark.createDataFrame(labels + [(None, 0), (99999, 0), (1, None)], schema))
+    made = rules.learn(rules.statistics(data), spark.createDataFrame(labels + [(None, 0), (99999, 0), (1, None)], schema))
     assert 1 <= len(made.rules) <= 8
     fresh, truth = labelled(spark, 2)
     truth = dict(truth)
-    got = rules.judged(fresh, made).collect()
+    got = rules.judged(rules.statistics(fresh), made).collect()
     assert sum(r.kept == bool(truth[r.doc_id]) for r in got if not r.base_failed) >= 0.98 * sum(not r.base_failed for r in got)
     assert all((r.rule is None) == r.kept for r in got if not r.base_failed)
-    plan = rules.judged(fresh, made)._jdf.queryExecution().executedPlan().toString()
+    plan = rules.judged(rules.statistics(fresh), made)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
 def test_nothing_to_learn(spark):
     data, labels = labelled(spark, 3, 60)
     schema = "doc_id long, quality int"
-    assert rules.learn(data, spark.createDataFrame([(i, 1) for i, _ in labels], schema)).rules == ()
-    assert rules.learn(data, spark.createDataFrame([], schema)).rules == ()
-    assert rules.learn(empty(spark), spark.createDataFrame(labels, schema)).rules == ()
-    assert rules.judged(empty(spark), rules.DecisionList(())).count() == 0
+    assert rules.learn(rules.statistics(data), spark.createDataFrame([(i, 1) for i, _ in labels], schema)).rules == ()
+    assert rules.learn(rules.statistics(data), spark.createDataFrame([], schema)).rules == ()
+    assert rules.learn(rules.statistics(empty(spark)), spark.createDataFrame(labels, schema)).rules == ()
+    assert rules.judged(rules.statistics(empty(spark)), rules.DecisionList(())).count() == 0
 
 
 def test_first_rule_that_holds_decides(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe, decontaminate, html_text, language, line_index, rules, secret_scan, shards, simhash, warc
 from tidepanel.llm.common import table
+from tidepanel.sources.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,8 +85,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, the base rule and the learned list."""
-    docs = table(spark, sf_dir, "documents")
-    return rules.judged(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
+    stats = written(rules.statistics(table(spark, sf_dir, "documents")), "statistics")
+    return rules.judged(stats, rules.learn(stats, table(spark, sf_dir, "labels")))
 
 
 @query

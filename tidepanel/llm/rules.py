@@ -37,7 +37,7 @@ def _count_of(text: Column, characters: str) -> Column:
 
 
 def statistics(docs: DataFrame, *carry: str) -> DataFrame:
-    """(id, carry..., counts...) for every row of ``docs``; a null text counts as empty.
+    """(id, carry..., counts...) for every row of ``docs`` (doc_id, text); a null text counts as empty.
 
     n_repeat_words are the words covered by any three-word window whose words occur as a window
     twice or more in the text.  Windows are sorted within the row, so the cost of a long text is
@@ -169,7 +169,7 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 
 
 def learn(
-    docs: DataFrame,
+    stats: DataFrame,
     labels: DataFrame,
     cuts_per_feature: int = 24,
     max_rules: int = 8,
@@ -177,15 +177,14 @@ def learn(
     least_precision: float = 0.95,
     least_covered: int = LEAST_COVERED,
 ) -> DecisionList:
-    """A decision list from the documents that ``labels`` (doc_id, quality) covers.
+    """A decision list from those rows of ``stats`` (see :func:`statistics`) that ``labels`` (doc_id, quality) covers.
 
     Quality 0 is low; null labels and labels without a document teach nothing; without low-quality
     labels the list is empty and keeps everything.  A rule must reach ``least_precision`` on the
     pruning third and cover at least ``least_covered`` low-quality documents there.
     """
     known = identified(labels, "quality").where(F.col("quality").isNotNull()).groupBy("id").agg(F.min("quality").alias("quality"))
-    labelled = docs.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    rows = statistics(labelled).join(known, "id").withColumn("bad", F.col("quality") == 0)
+    rows = stats.join(known, "id").withColumn("bad", F.col("quality") == 0)
     rows = written(rows, "labelled")
     steps = [(i + 1) / (cuts_per_feature + 1) for i in range(cuts_per_feature)]
     # Quantiles of each class, so that a rare class gets cuts of its own.
@@ -285,12 +284,11 @@ def _pruned(counts: DataFrame, rule: list, least_precision: float, least_covered
     return rule[: max(scored, key=lambda x: ((x[0] - x[1]) / (x[0] + x[1]), x[0], -x[2]))[2]] if scored else []
 
 
-def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """Counts, the base rule's and the list's verdict for every row of ``docs`` (doc_id, text).
+def judged(rows: DataFrame, rules: DecisionList) -> DataFrame:
+    """Counts, the base rule's and the list's verdict for every row of statistics.
 
     A null or empty text has no words and fails the base rule.  Repeated rows are judged each.
     """
-    rows = statistics(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return rows.select(
         given_id().alias("doc_id"),
