@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.sources.storage import written
+
 #: Cells per key are the square of this; a value finds its cell in two steps over so many cuts.
 CELL_ROOT = 16
 QUANTILE_ACCURACY = 10_000
@@ -50,6 +52,9 @@ def running_totals(
     # Without keys the one row of cuts is a scalar; with keys Spark decides how to join one row per key.
     given = df.join(cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
     celled = given.withColumn("_cell", order_cell(F.col(order), F.col("_cuts"))).drop("_cuts")
+    # Approximate quantiles depend on the order in which parts are merged.  Both uses below must see
+    # the same cells, so these are written once.
+    celled = written(celled, "cells")
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     below = by_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
