@@ -289,6 +289,15 @@ _diff = ["chargeback_rate", "gmv", "trailing_chargeback_rate_28d", "trailing_gmv
 SQL["difficulty_auc"] = with_(
     auc(" UNION ALL ".join(f"SELECT horizon_days, '{c}' AS feature, {c} AS score, y FROM difficulty" for c in _diff), "horizon_days, feature"), "difficulty"
 )
+SQL["difficulty_assessment"] = with_(
+    f"""SELECT max(roc_auc) AS highest_auc, min(roc_auc) AS lowest_auc, CASE
+        WHEN max(roc_auc) > 0.97 AND min(roc_auc) < 0.55 THEN 'a causal feature alone is close to perfect: look for leakage; causal features alone are weak at some horizon: the label may be hard to learn there'
+        WHEN max(roc_auc) > 0.97 THEN 'a causal feature alone is close to perfect: look for leakage'
+        WHEN min(roc_auc) < 0.55 THEN 'causal features alone are weak at some horizon: the label may be hard to learn there'
+        ELSE 'causal features alone carry some signal and do not settle the label' END AS assessment
+    FROM ({auc(" UNION ALL ".join(f"SELECT horizon_days, '{c}' AS feature, {c} AS score, y FROM difficulty" for c in _diff[2:]), "horizon_days, feature")})""",
+    "difficulty",
+)
 SQL["threshold_boundary_share"] = with_(
     f"SELECT horizon_days, {fx('avg(CASE WHEN abs(elevation_ratio_amount - 1.75) < 0.1::DOUBLE * 1.75::DOUBLE THEN 1.0 ELSE 0.0 END::DOUBLE)')} AS near_boundary_fraction FROM labels_t GROUP BY 1",
     "labels_t",

@@ -242,27 +242,29 @@ def volume_bucket(value: Column, median: Column) -> Column:
     return F.when(value < median, "low_volume").otherwise("higher_volume")
 
 
-def error_breakdown(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Counts of false positives and negatives by value of each dimension."""
+def error_breakdown(df: DataFrame, keys: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
+    """Counts of false positives and negatives per key by value of each dimension."""
+    by = [*keys, "error_type"]
     return (
         df.where(F.col("error_type").isin("false_positive", "false_negative"))
-        .select("error_type", *dimensions)
-        .unpivot(["error_type"], list(dimensions), "dimension", "value")
-        .groupBy("error_type", "dimension", "value")
+        .select(*by, *dimensions)
+        .unpivot(by, list(dimensions), "dimension", "value")
+        .groupBy(*by, "dimension", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def error_rates(df: DataFrame, dimensions: Sequence[str], label: str = LABEL) -> DataFrame:
-    """Error rate within each category: FPs among negatives and FNs among positives."""
+def error_rates(df: DataFrame, keys: Sequence[str], dimensions: Sequence[str], label: str = LABEL) -> DataFrame:
+    """Error rate per key within each category: FPs among negatives and FNs among positives."""
     return (
         df.select(
+            *keys,
             F.when(F.col(label) == 1, "false_negative").otherwise("false_positive").alias("error"),
             "error_type",
             *dimensions,
         )
-        .unpivot(["error", "error_type"], list(dimensions), "dimension", "value")
-        .groupBy("error", "dimension", "value")
+        .unpivot([*keys, "error", "error_type"], list(dimensions), "dimension", "value")
+        .groupBy(*keys, "error", "dimension", "value")
         .agg(
             count_where(F.col("error_type") == F.col("error")).alias("n_errors"),
             F.count(F.lit(1)).alias("n_total_in_category"),
@@ -271,6 +273,29 @@ def error_rates(df: DataFrame, dimensions: Sequence[str], label: str = LABEL) ->
     )
 
 
+# Limits and verdicts of the difficulty audit.
+TOO_EASY_AUC, TOO_HARD_AUC = 0.97, 0.55
+TOO_EASY = "a causal feature alone is close to perfect: look for leakage"
+TOO_HARD = "causal features alone are weak at some horizon: the label may be hard to learn there"
+PLAUSIBLE = "causal features alone carry some signal and do not settle the label"
+
+
+def difficulty_assessment(aucs: DataFrame, causal: Sequence[str]) -> DataFrame:
+    """One row over (feature, roc_auc): the extreme AUCs of the causal features and the verdicts they call for."""
+    extremes = aucs.where(F.col("feature").isin(list(causal))).agg(
+        F.max("roc_auc").alias("highest_auc"), F.min("roc_auc").alias("lowest_auc")
+    )
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("highest_auc") > TOO_EASY_AUC, TOO_EASY),
+            F.when(F.col("lowest_auc") < TOO_HARD_AUC, TOO_HARD),
+        )
+    )
+    return extremes.withColumn(
+        "assessment", F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise(F.lit(PLAUSIBLE))
+    )
+
+
 def single_feature_audit(long: DataFrame, keys: Sequence[str], label: str = LABEL) -> DataFrame:
     """AUC of each feature of a (keys, feature, value, label) frame, ranked by |AUC - 0.5|."""
     from pyspark.sql import Window

@@ -307,12 +307,24 @@ def _difficulty_frame(d):
     return d.labels.join(context, ["merchant_id", "day_index"], "left")
 
 
-@query("difficulty_auc")
-def _(d):
+CAUSAL = ["trailing_chargeback_rate_28d", "trailing_gmv_28d_mean"]
+
+
+def _difficulty(d):
     d.store("daily")
-    columns = ["chargeback_rate", "gmv", "trailing_chargeback_rate_28d", "trailing_gmv_28d_mean"]
+    columns = ["chargeback_rate", "gmv", *CAUSAL]
     long = quality.long_form(_difficulty_frame(d), ["horizon_days", "label_elevated_chargeback"], columns, "feature")
-    return rounded(metrics.roc_auc(long, ["horizon_days", "feature"], "value"))
+    return metrics.roc_auc(long, ["horizon_days", "feature"], "value")
+
+
+@query("difficulty_auc")
+def _(d):
+    return rounded(_difficulty(d))
+
+
+@query("difficulty_assessment")
+def _(d):
+    return rounded(metrics.difficulty_assessment(_difficulty(d), CAUSAL))
 
 
 @query("threshold_boundary_share")

@@ -135,12 +135,12 @@ DIMENSIONS = ["active_event_type", "active_event_category", "archetype", "volume
 
 @query("error_breakdown")
 def _(d):
-    return metrics.error_breakdown(_errors(d).where(F.col("horizon_days") == 30), DIMENSIONS)
+    return metrics.error_breakdown(_errors(d), ["horizon_days"], DIMENSIONS)
 
 
 @query("error_rates")
 def _(d):
-    return rounded(metrics.error_rates(_errors(d).where(F.col("horizon_days") == 30), ["active_event_type", "archetype"]))
+    return rounded(metrics.error_rates(_errors(d), ["horizon_days"], ["active_event_type", "archetype"]))
 
 
 @query("naive_forecast_metrics")
