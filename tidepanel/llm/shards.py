@@ -42,7 +42,9 @@ def seated(docs: DataFrame) -> tuple[DataFrame, int]:
 def _units(rows: DataFrame, most: int) -> DataFrame:
     """Linked rows with their unit (text_key, chunk): groups of two or more, cut at ``most`` members."""
     groups = rows.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.count(F.lit(1)).alias("members"))
-    linked = written(rows.join(groups.where("members > 1"), "text_key"), "linked")
+    # Written apart, so that the join has a plain exchange on both sides and a hot text can be split.
+    groups = written(groups.where("members > 1"), "groups")
+    linked = written(rows.join(groups, "text_key"), "linked")
     small = linked.where(F.col("members") <= most).withColumn("chunk", F.lit(0).cast("long"))
     large = numbered(linked.where(F.col("members") > most), "place", ["seat"], ["text_key"])
     large = large.withColumn("chunk", F.floor(F.col("place") / most)).drop("place")
