@@ -53,3 +53,36 @@ def test_awkward_rows(spark, n):
     checked(shards.sharded(frame, shards=n).collect(), frame.collect(), n)
     if n == 40:
         assert shards.sharded(empty(spark)).count() == 0
+
+
+def test_every_text_twice_or_more(spark):
+    given = [(k, text(k // 2 if k < 480 else 10_000 + k // 3, 12)) for k in range(960)]
+    frame = docs(spark, given)
+    rows = shards.sharded(frame, shards=4).collect()
+    checked(rows, frame.collect(), 4)
+    whole = sum(n * (n - 1) // 2 for n in Counter(dict(given).values()).values())
+    assert cut(rows, dict(given)) <= 0.02 * whole
+
+
+def test_moves_into_full_shards_are_netted():
+    assert shards.flows({(0, 1, 0): 5, (1, 2, 0): 3, (2, 0, 1): 4}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    draw = random.Random(3)
+    for _ in range(50):
+        asked = {(a, b, draw.randrange(3)): draw.randrange(1, 9) for a in range(6) for b in range(6) if a != b and draw.random() < 0.6}
+        room = [draw.choice([0, 0, 2]) for _ in range(6)]
+        most = Counter()
+        for (a, b, _), n in asked.items():
+            most[a, b] += n
+        may = shards.flows(asked, room)
+        assert all(n <= most[way] for way, n in may.items())
+        for j in range(6):
+            assert sum(n for (_, b), n in may.items() if b == j) - sum(n for (a, _), n in may.items() if a == j) <= room[j]
+
+
+def test_a_text_that_fits_in_one_shard_is_in_one(spark):
+    given = [(k, f"hot {k % 6}" if k < 180 else text(k, 12)) for k in range(400)]
+    rows = shards.sharded(docs(spark, given), shards=10).collect()
+    assert cut(rows, dict(given)) == 0
+    given = [(k, "hot" if k < 250 else text(k // 2, 12)) for k in range(400)]
+    rows = shards.sharded(docs(spark, given), shards=10).collect()
+    assert len({r.shard for r in rows if r.doc_id < 250}) == 7
