@@ -117,3 +117,52 @@ def test_rows(spark, model):
     assert s.scanned(empty(spark), model).count() == 0
     untrained = s.train(empty(spark))
     assert not untrained.trained and s.scan("password = abcdefgh12345", untrained) == [(0, 24, "assign")]
+
+
+def test_letters_only_secrets_are_states(spark):
+    draw = random.Random(4)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for k in range(200):
+        words = [draw.choice(WORDS) for _ in range(60)]
+        words[draw.randrange(60)] = f'password = "{letters(24)}"' if k % 2 else f'colour = "{letters(5)}"'
+        rows.append((k, " ".join(words)))
+    made = s.train(docs(spark, rows))
+    found = clean = 0
+    for k in range(100):
+        value = letters(24)
+        before = " ".join(draw.choice(WORDS) for _ in range(30))
+        found += (len(before) + 8, len(before) + 32, "crf") in s.scan(f'{before} pwd = "{value}" {draw.choice(WORDS)}', made)
+        clean += not s.scan(f"{before} {draw.choice(WORDS)}", made)
+    assert found > 80 and clean > 95
+
+
+def test_bound_keeps_the_best_path_of_the_whole_text():
+    numbers = np.random.default_rng(5)
+    tagged = 0
+    for _ in range(300):
+        made = s.Field(steps=numbers.normal(size=(3, 3)), trained=True)
+        scores = numbers.normal(size=(40, 3)) * 2 + [numbers.uniform(0, 6), 0, 0]
+        tags = made.viterbi(scores)
+        assert made.tags(scores) == tags
+        tagged += sum(map(bool, tags))
+    assert tagged > 500
+
+
+def test_emissions_equal_the_sum_of_the_features(model):
+    text = corpus(8, 2)[1][1] + ' x="y1" é 🙂'
+    words, about = [text[a:b] for a, b in s.tokens_of(text)], s.file_features(text)
+    for n in (1, 2, 3, len(words)):
+        want = [sum((model.weights.get(f, np.zeros(3)) for f in s.token_features(words[:n], i, about)), np.zeros(3)) for i in range(n)]
+        assert np.allclose(model.emissions(words[:n], about), want)
+
+
+def test_a_token_that_a_pattern_marks_in_part_is_reported():
+    class Whole(s.Field):
+        def spans(self, text):
+            return [(4, 30)]
+
+    text = "key xyz" + "0123456789abcdef" + "-zz end"
+    assert s.scan(text, Whole()) == [(4, 30, "crf"), (7, 23, "hex")]
+    Whole.spans = lambda self, text: [(8, 20)]
+    assert s.scan(text, Whole()) == [(7, 23, "hex")]

@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns plus a linear-chain conditional random field over tokens.
 
-A text is cut into tokens: runs of letters, digits and ``+/_-``, and single other characters.  Each
-token is tagged secret-begin, -inside or outside.  The field's states are restricted: only tokens
-with a digit, and joining marks between two of them, may be anything but outside.  A sequence thus
-falls apart, exactly, into short runs between tokens that are outside for sure, and Viterbi decoding
-of these runs is Viterbi decoding of the whole text, at a cost that follows the runs.
+A text is cut into tokens: runs of letters, digits and ``+/_-``, and single other characters.  Every
+token is tagged secret-begin, -inside or outside, in training and in decoding.  Before Viterbi
+decoding, tokens that no best path can tag are found by a bound: a stretch of secret tokens gains at
+most the sum of its tokens' largest gains over outside.  Where no stretch through a token can gain,
+the token is outside for sure, and decoding of the stretches between such tokens is decoding of the
+whole text.
 
 Features of a token are its shape, its neighbours' words and shapes, and two figures of the file.
 The field is trained here, by stochastic gradient ascent of the conditional likelihood, on what the
@@ -34,15 +35,16 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 # A run that is too short cannot hold a longer match, so these lengths go into the patterns.
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 
-#: Bounds of the training sample: documents with and without pattern matches, and token runs.
-MATCHING_DOCS, OTHER_DOCS, MAX_RUNS = 400, 400, 4000
+#: Bounds of the training sample: documents with and without pattern matches, and windows of tokens in them.
+MATCHING_DOCS, OTHER_DOCS, MAX_WINDOWS, WINDOW = 400, 400, 4000, 16
 MAX_VOCABULARY = 256
+#: Words whose weights a worker keeps; bounds its memory, not the result.
+MEMO_WORDS = 100_000
 
 _OUT, _BEGIN, _IN = 0, 1, 2
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+")
 _JOIN = re.compile(r"[.:=~@]{1,3}")
 _NEAR = re.compile(r"[A-Za-z0-9+/_-]+|\w|[^\w\s]")
-_REACH = 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of (start, end) tokens that may belong to a secret; everything between them is outside."""
+    """Runs of (start, end) tokens with digits and the marks that join them."""
     out: list[list[tuple[int, int]]] = []
     last = -1
     for m in _CANDIDATE.finditer(text):
@@ -101,21 +103,29 @@ def file_features(text: str) -> list[str]:
     return [f"file digits {sum(digits > k for k in (0.002, 0.01, 0.05))}", f"file marks {sum(marks > k for k in (0.001, 0.01))}"]
 
 
-def token_features(text: str, run: list[tuple[int, int]], about: list[str]) -> list[list[str]]:
-    """Feature names of every token of a run."""
-    start, end = run[0][0], run[-1][1]
-    before = _NEAR.findall(text[max(0, start - _REACH) : start])
-    after = _NEAR.findall(text[end : end + _REACH])
-    tokens = [*before[-3:], *[text[a:b] for a, b in run], *after[:2]]
-    at = len(before[-3:])
-    tokens = ["", "", "", *tokens, "", ""]
-    at += 3
-    out = []
-    for i in range(at, at + len(run)):
-        near = [f"{k} {tokens[i + k].lower()}" for k in (-3, -2, -1, 1, 2) if tokens[i + k]]
-        own = shape(tokens[i])
-        out.append(["bias", f"shape {own}", f"start {tokens[i][:4]}", f"size {len(tokens[i]) // 4}", *near, f"after {tokens[i - 1][-1:]} {own[:1]}", *about])
-    return out
+def tokens_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every token; white space is between tokens."""
+    return [m.span() for m in _NEAR.finditer(text)]
+
+
+def own_features(token: str) -> list[str]:
+    """Also the shape's parts, each step of them a feature, so that shapes never seen in training have weights."""
+    own = shape(token)
+    parts = [f"long {k}" for k in range(1, 1 + int(own[0]))] if own[0].isdigit() else []
+    if parts and "d" in own:
+        share, turns = own.rsplit("d", 1)[1].split("t")
+        parts += [f"digits {k}" for k in range(1, 1 + int(share))] + [f"turns {k}" for k in range(1, 1 + int(turns))]
+    return ["bias", f"shape {own}", f"start {token[:4]}", f"size {len(token) // 4}", *parts]
+
+
+def after_feature(before: str, token: str) -> str:
+    return f"after {before[-1:]} {shape(token)[:1]}"
+
+
+def token_features(words: list[str], at: int, about: list[str]) -> list[str]:
+    """Feature names of one token of a text."""
+    near = [f"{k} {words[at + k].lower()}" for k in (-3, -2, -1, 1, 2) if 0 <= at + k < len(words)]
+    return [*own_features(words[at]), *near, after_feature(words[at - 1] if at else "", words[at]), *about]
 
 
 @dataclass
@@ -125,13 +135,47 @@ class Field:
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     steps: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
     trained: bool = False
-
-    def emissions(self, features: list[list[str]]) -> np.ndarray:
+    memo: "_Memo | None" = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": None}
+
+    def emissions(self, words: list[str], about: list[str]) -> np.ndarray:
+        """Scores (tokens x tags): a token's weights are looked up once and kept by the worker."""
+        if self.memo is None or len(self.memo.number) > MEMO_WORDS:
+            self.memo = _Memo(self.weights)
+        rows, last, kind, after = self.memo.rows(words)
+        out = rows[:, :3].copy()
+        for j, k in enumerate((-3, -2, -1, 1, 2)):
+            # A neighbour's word counts for the tokens k places off.
+            near = rows[:, 3 + 3 * j : 6 + 3 * j]
+            if k < 0:
+                out[-k:] += near[:k]
+            else:
+                out[:-k] += near[k:]
+        out += after[np.concatenate([[0], last[:-1]]), kind]
         zero = np.zeros(3)
-        return np.array([sum((self.weights.get(f, zero) for f in fs), zero) for fs in features])
+        return out + sum((self.weights.get(f, zero) for f in about), zero)
+
+    def possible(self, scores: np.ndarray) -> np.ndarray:
+        """Which tokens the best path may tag; all others are outside for sure."""
+        step, none = self.steps, self.steps[_OUT, _OUT]
+        enter = max(step[_OUT, _BEGIN], step[_BEGIN:, _BEGIN:].max())
+        gain = scores[:, _BEGIN:].max(axis=1) - scores[:, _OUT] + enter - none
+        leave = step[_BEGIN:, _OUT].max() - none
+        best = _best_ending(gain) + _best_ending(gain[::-1])[::-1] - gain
+        return best + leave >= -1e-6
+
+    def tags(self, scores: np.ndarray) -> list[int]:
+        """The best tags of a whole text."""
+        out = np.zeros(len(scores), int)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], self.possible(scores), [False]]).astype(int)))
+        for a, b in zip(edges[::2], edges[1::2]):
+            out[a:b] = self.viterbi(scores[a:b])
+        return out.tolist()
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
-        """The best tags; a run starts after an outside token, and inside never follows outside."""
+        """The best tags of tokens between outside tokens; inside never follows outside."""
         steps = self.steps.copy()
         steps[_OUT, _IN] = -np.inf
         best = scores[0] + steps[_OUT]
@@ -173,21 +217,62 @@ class Field:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of every secret that the field tags in a text."""
-        found = runs(text) if self.trained else []
+        found = tokens_of(text) if self.trained else []
         if not found:
             return []
-        about = file_features(text)
+        tags = self.tags(self.emissions([text[a:b] for a, b in found], file_features(text)))
         out = []
-        for run in found:
-            tags = self.viterbi(self.emissions(token_features(text, run, about)))
-            for (a, b), tag in zip(run, tags):
-                if tag == _BEGIN:
-                    out.append([a, b])
-                elif tag == _IN:
-                    out[-1][1] = b
+        for i in np.flatnonzero(tags):
+            a, b = found[i]
+            if tags[i] == _BEGIN:
+                out.append([a, b])
+            else:
+                out[-1][1] = b
         return [(a, b) for a, b in out]
 
 
+class _Memo:
+    """Weights of the words met so far: their own, and those that they give to their neighbours."""
+
+    KIND = "01234567m"
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.weights, self.number = weights, {}
+        self.table, self.at = np.zeros((1024, 18)), np.zeros((1024, 2), np.int64)
+        # Row 0 stands before the first token, row 1 for all characters without a weight.
+        self.ends = {"": 0}
+        for f in weights:
+            if f[:6] == "after " and len(f) == 9:
+                self.ends.setdefault(f[6], len(self.ends) + 1)
+        zero = np.zeros(3)
+        self.after = np.zeros((len(self.ends) + 1, len(self.KIND), 3))
+        for end, i in self.ends.items():
+            self.after[i] = [weights.get(f"after {end} {z}", zero) for z in self.KIND]
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        known = self.number
+        for w in set(words).difference(known):
+            self._add(w)
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = self.at[ids]
+        return self.table[ids], at[:, 0], at[:, 1], self.after
+
+    def _add(self, word: str) -> None:
+        i, get, zero, low = len(self.number), self.weights.get, np.zeros(3), word.lower()
+        if i == len(self.table):
+            self.table, self.at = np.concatenate([self.table, 0 * self.table]), np.concatenate([self.at, 0 * self.at])
+        self.table[i, :3] = sum((get(f, zero) for f in own_features(word)), zero)
+        self.table[i, 3:] = np.concatenate([get(f"{k} {low}", zero) for k in (-3, -2, -1, 1, 2)])
+        self.at[i] = self.ends.get(word[-1], 1), self.KIND.index(shape(word)[0])
+        self.number[word] = i
+
+
+def _best_ending(gain: np.ndarray) -> np.ndarray:
+    """The largest sum of a stretch that ends at each place."""
+    sums = np.concatenate([[0.0], np.cumsum(gain)])
+    return sums[1:] - np.minimum.accumulate(sums[:-1])
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -214,28 +299,34 @@ def secret_spans(text: str) -> list[tuple[int, int]]:
 
 
 def train(docs: DataFrame, epochs: int = 6, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Field:
-    """A field from a bounded sample of ``docs`` (text): documents with pattern matches and others with digits.
+    """A field from a bounded sample of ``docs`` (text): documents with pattern matches and others.
 
     Rows are chosen by a hash of the text, at about the bounds above whatever the input.  Without
     any match the field stays untrained and tags nothing.
     """
     draw = F.pmod(F.xxhash64("text", F.lit("field")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     marks = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
-    rows = docs.select("text", draw.alias("draw"), F.col("text").rlike(marks).alias("hit")).where(
-        F.col("text").isNotNull() & F.col("text").rlike("[0-9]")
-    )
+    rows = docs.select("text", draw.alias("draw"), F.col("text").rlike(marks).alias("hit")).where("text is not null")
     sizes = {r.hit: r["count"] for r in rows.groupBy("hit").count().collect()}
     share = {hit: most / max(1, sizes.get(hit, 0)) for hit, most in ((True, MATCHING_DOCS), (False, OTHER_DOCS))}
     chosen = rows.where(F.col("draw") < F.when(F.col("hit"), share[True]).otherwise(share[False])).select("text")
-    examples = []
+    marked, others = [], []
     for text in sorted(r.text for r in chosen.collect()):
-        about, spans = file_features(text), secret_spans(text)
-        examples += [(token_features(text, run, about), tagged(run, spans)) for run in runs(text)]
-    random = np.random.default_rng(seed)
-    examples = [examples[i] for i in random.permutation(len(examples))[:MAX_RUNS]]
+        found, about = tokens_of(text), file_features(text)
+        words, tags = [text[a:b] for a, b in found], tagged(found, secret_spans(text))
+        for at in range(0, len(found), WINDOW):
+            part = range(at, min(len(found), at + WINDOW))
+            (marked if any(tags[i] for i in part) else others).append((words, part, about, [tags[i] for i in part]))
     made = Field()
-    if not any(t == _BEGIN for _, tags in examples for t in tags):
+    if not any(t == _BEGIN for *_, tags in marked for t in tags):
         return made
+    random = np.random.default_rng(seed)
+    marked_all, others_all = len(marked), len(others)
+    marked = [marked[i] for i in random.permutation(len(marked))[: MAX_WINDOWS // 2]]
+    others = [others[i] for i in random.permutation(len(others))[: MAX_WINDOWS - len(marked)]]
+    # Each window stands for those that were not drawn.
+    weight = [marked_all / len(marked)] * len(marked) + [others_all / max(1, len(others))] * len(others)
+    examples = [([token_features(words, i, about) for i in part], tags) for words, part, about, tags in marked + others]
     counts: dict[str, int] = {}
     for features, _ in examples:
         for f in {f for fs in features for f in fs}:
@@ -243,22 +334,30 @@ def train(docs: DataFrame, epochs: int = 6, rate: float = 0.3, decay: float = 1e
     # Of the neighbours' words only the frequent ones are features; shapes and file figures all are.
     words = sorted((f for f in counts if f[:1] in "-12" and counts[f] > 1), key=lambda f: (-counts[f], f))
     known = set(words[:MAX_VOCABULARY]) | {f for f in counts if f[:1] not in "-12" and (counts[f] > 1 or f[:5] == "shape")}
-    made.trained = True
-    made.weights = {f: np.zeros(3) for f in sorted(known)}
-    size = {f: np.full(3, 1e-6) for f in known}
+    names = sorted(known)
+    number = {f: i for i, f in enumerate(names)}
+    ready = []
+    for (features, tags), w in zip(examples, weight):
+        pairs = [(number[f], i) for i, fs in enumerate(features) for f in fs if f in number]
+        ids, token = np.array(pairs).T
+        used, inverse = np.unique(ids, return_inverse=True)
+        counts_of = np.zeros((len(used), len(tags)))
+        np.add.at(counts_of, (inverse, token), 1)
+        ready.append((used, counts_of, tags, w))
+    weights, size = np.zeros((len(names), 3)), np.full((len(names), 3), 1e-6)
     step_size = np.full((3, 3), 1e-6)
-    examples = [([[f for f in fs if f in known] for fs in features], tags) for features, tags in examples]
     for _ in range(epochs):
-        for k in random.permutation(len(examples)):
-            features, tags = examples[k]
-            local, pairs = made.gradient(made.emissions(features), tags)
-            for fs, g in zip(features, local):
-                for f in fs:
-                    g_f = g - decay * made.weights[f]
-                    size[f] += g_f * g_f
-                    made.weights[f] += rate * g_f / np.sqrt(size[f])
-            step_size += pairs * pairs
-            made.steps += rate * pairs / np.sqrt(step_size)
+        for k in random.permutation(len(ready)):
+            used, counts_of, tags, w = ready[k]
+            # Windows are cut from their texts, so their ends count as outside.
+            local, pairs = made.gradient(counts_of.T @ weights[used], tags)
+            g = w * (counts_of @ local - decay * weights[used])
+            size[used] += g * g
+            weights[used] += rate * g / np.sqrt(size[used])
+            step_size += (w * pairs) ** 2
+            made.steps += rate * w * pairs / np.sqrt(step_size)
+    made.trained = True
+    made.weights = dict(zip(names, weights))
     return made
 
 
@@ -267,13 +366,18 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(text: str | None, model: Field) -> list[tuple[int, int, str]]:
-    """All spans of a text: the base ones, and those of the field that touch none of them."""
+    """All spans of a text: the base ones, and those of the field that reach beyond them."""
     text = text or ""
     base = base_spans(text)
-    more = [(a, b, "crf") for a, b in model.spans(text) if not any(s < b and a < e for s, e, _ in base)]
-    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
+    def beyond(a: int, b: int) -> bool:
+        for start, end, _ in base:  # by start
+            if start <= a < end:
+                a = end
+        return a < b
 
+    more = [(a, b, "crf") for a, b in model.spans(text) if beyond(a, b)]
+    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def scanned(docs: DataFrame, model: Field) -> DataFrame:
