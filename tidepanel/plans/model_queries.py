@@ -12,7 +12,7 @@ from tidepanel.operators.features import feature_columns, manifest, manifest_df
 from tidepanel.operators.metrics import LABEL
 from tidepanel.plans.decision_queries import HORIZON
 from tidepanel.plans.registry import query, rounded
-from tidepanel.plans.training import ID_COLUMNS, SMALL_BOOSTING, SMALL_FOREST, calibrated_forest, evaluate, fit_all, model_frame, model_frames, role, score_all
+from tidepanel.plans.training import ID_COLUMNS, calibrated_forest, evaluate, fit_all, model_frame, model_frames, role, score_all
 from tidepanel.sources.storage import written
 
 KEYS = ["merchant_id", "as_of_date", "day_index"]
@@ -21,7 +21,7 @@ KEYS = ["merchant_id", "as_of_date", "day_index"]
 @query("model_comparison")
 def _(d):
     """Three models at every horizon."""
-    scored = [score_all(frame, fit_all(frame, SMALL_FOREST, SMALL_BOOSTING)) for frame in model_frames(d).values()]
+    scored = [score_all(frame, fit_all(frame, models.FOREST, models.BOOSTING)) for frame in model_frames(d).values()]
     return rounded(evaluate(reduce(DataFrame.unionByName, scored)))
 
 
@@ -29,7 +29,7 @@ def _(d):
 def _(d):
     """Importance concentration, single-feature AUCs and column rules in one verdict per model."""
     frame = model_frame(d, HORIZON)
-    fitted = fit_all(frame, SMALL_FOREST, SMALL_BOOSTING)
+    fitted = fit_all(frame, models.FOREST, models.BOOSTING)
     ranked = [models.importances(fitted[m], feature_columns(), m, d.spark) for m in ("random_forest", "gradient_boosting")]
     concentration = metrics.importance_concentration(reduce(DataFrame.unionByName, ranked))
     long = quality.long_form(role(frame, "train"), [LABEL], feature_columns(), "feature")
@@ -47,7 +47,7 @@ def _(d):
 def _(d):
     parts = []
     for horizon, frame in model_frames(d).items():
-        model = models.fit_forest(role(frame, "train"), feature_columns(), **SMALL_FOREST)
+        model = models.fit_forest(role(frame, "train"), feature_columns(), **models.FOREST)
         ranked = models.importances(model, feature_columns(), "random_forest", d.spark)
         parts.append(ranked.withColumn("horizon_days", F.lit(horizon)))
     return reduce(DataFrame.unionByName, parts)
@@ -58,7 +58,7 @@ def _(d):
     """Naive persistence against a forest on log1p of the amount, at every horizon."""
     parts = []
     for frame in model_frames(d).values():
-        model = models.fit_regression_forest(role(frame, "train"), feature_columns(), "future_chargeback_amount", **SMALL_FOREST)
+        model = models.fit_regression_forest(role(frame, "train"), feature_columns(), "future_chargeback_amount", **models.FOREST)
         parts.append(models.predict_amount(model, role(frame, "normal_test")))
     test = reduce(DataFrame.unionByName, parts).withColumn(
         "naive", F.col("baseline_daily_chargeback_amount_trailing") * F.col("horizon_days")
@@ -80,7 +80,7 @@ def _(d):
 def _(d):
     """Forest before and after sigmoid scaling, on test and stress rows."""
     frame = model_frame(d, HORIZON)
-    artifact, halves = calibrated_forest(frame, SMALL_FOREST)
+    artifact, halves = calibrated_forest(frame, models.FOREST)
     raw_best = metrics.ranking_metrics(
         metrics.score_table(halves.where(F.col("half") == "threshold"), [], "probability_raw"), []
     ).first()["best_f1_threshold"]
@@ -106,7 +106,7 @@ def _(d):
 @query("model_metadata")
 def _(d):
     frame = model_frame(d, HORIZON)
-    artifact, _ = calibrated_forest(frame, SMALL_FOREST)
+    artifact, _ = calibrated_forest(frame, models.FOREST)
     prints = quality.table_fingerprint(frame, "model_frame").first()
     artifact.fingerprints = {"model_frame": prints["xor_hash"]}
     return artifact.metadata(d.spark)
@@ -114,7 +114,7 @@ def _(d):
 
 def _explained(d, rows: str = "normal_test"):
     frame = model_frame(d, HORIZON)
-    artifact, _ = calibrated_forest(frame, SMALL_FOREST)
+    artifact, _ = calibrated_forest(frame, models.FOREST)
     scored = artifact.score(role(frame, rows))
     explainer = attribution.build_explainer(artifact.model, artifact.feature_columns, d.spark)
     attributed = attribution.attribute(scored, explainer, [*KEYS, LABEL, "probability_raw", "probability"])

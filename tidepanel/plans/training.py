@@ -16,9 +16,6 @@ from tidepanel.plans.evaluation import roles_frame
 from tidepanel.plans.inputs import Dataset
 from tidepanel.sources.storage import written
 
-# Tree counts are parameters: the published sizes take long on one machine.
-SMALL_FOREST = dict(numTrees=20, maxDepth=5)
-SMALL_BOOSTING = dict(maxIter=8, maxDepth=3)
 ID_COLUMNS = ["merchant_id", "archetype", "as_of_date", "day_index", "horizon_days", "frame_role", LABEL, "future_chargeback_amount", "baseline_daily_chargeback_amount_trailing"]
 
 
