@@ -96,3 +96,17 @@ def test_rows(spark, model):
     got = sorted((str(r.page_id), r.url or "", r.text, r.n_chars) for r in html_text.extracted(frame, model).collect())
     assert got == [("1", "u", WANT, len(WANT)), ("1", "u", WANT, len(WANT)), ("3", "v", "", 0), ("None", "", "", 0)]
     assert html_text.extracted(frame.limit(0), model).count() == 0
+
+
+def test_a_long_attribute_with_brackets_stays_in_its_tag():
+    from tidepanel.llm import dom
+
+    for quote in "\"'":
+        value = "<p>no</p>" * 20_000
+        root = parse(f"<div data-props={quote}{value}{quote} id=a title=it's><p>yes</p></div>")
+        (div,) = root.parts
+        assert div.attrs["data-props"] == value and [x.tag for x in div.parts] == ["p"] and div.parts[0].parts == ["yes"]
+    never = "<a x='\">" * 60_000  # every value is open to the next tag's quote, the last one for ever
+    assert parse(never + "end").parts
+    ends = dom._TagEnds("<a x='" + "<b y=\">" * 50_000)
+    assert ends.after(2) == 13

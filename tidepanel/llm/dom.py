@@ -31,7 +31,7 @@ _SCOPE = frozenset("td th table button body html".split())
 
 _MARK = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
-_TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*?>""")
+_IN_TAG = re.compile(r"""=\s*(["'])|>""")  # a quote opens a value only after an equals sign
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -55,6 +55,7 @@ def parse(page: str) -> Node:
     root = Node("#page", {}, None)
     here, at, size = root, 0, len(page)
     low: str | None = None
+    ends = _TagEnds(page)
     while at < size:
         found = _MARK.search(page, at)
         if found is None:
@@ -74,7 +75,7 @@ def parse(page: str) -> Node:
             continue
         name = _NAME.match(page, at + len(mark) - 1)
         tag = name.group().lower()
-        end = _tag_end(page, name.end())
+        end = ends.after(name.end())
         body, at = page[name.end() : end - 1], end
         if mark[1] == "/":
             here = _ended(here, tag)
@@ -92,16 +93,31 @@ def parse(page: str) -> Node:
     return root
 
 
-def _tag_end(page: str, at: int) -> int:
-    """The place after a tag's closing bracket, or the end of a page that is cut off within the tag."""
-    close = page.find(">", at)
-    if close < 0:
-        return len(page) + 1
-    inside = page[at:close]
-    if inside.count('"') % 2 == 0 and inside.count("'") % 2 == 0:
-        return close + 1
-    full = _TAG_END.match(page, at, min(len(page), at + 65536))
-    return full.end() if full else close + 1
+class _TagEnds:
+    """Finds where tags end, with quoted values of any length, in time linear in the page over all calls."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {'"': page.rfind('"'), "'": page.rfind("'")}
+        self.lost: set[int] = set()  # opening quotes from which no tag end can be reached
+
+    def after(self, at: int) -> int:
+        """The place after a tag's closing bracket, or the end of a page that is cut off within the tag.
+
+        If a quoted value is never closed, the first bracket ends the tag.
+        """
+        page, here, opened = self.page, at, []
+        while (found := _IN_TAG.search(page, here)) is not None:
+            quote = found.group(1)
+            if quote is None:
+                return found.end()
+            opened.append(found.end() - 1)
+            if opened[-1] in self.lost or self.last[quote] < found.end():
+                break
+            here = page.index(quote, found.end()) + 1
+        self.lost.update(opened)
+        close = page.find(">", at)
+        return len(page) + 1 if close < 0 else close + 1
 
 
 def _ended(here: Node, tag: str) -> Node:
