@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, decontaminate, html_text, language, line_index, rules, secret_scan, shards, simhash, warc
+from tidepanel.llm import alignment, bpe, decontaminate, html_text, language, line_index, rules, secret_scan, shards, simhash, warc
 from tidepanel.llm.common import table
 from tidepanel.sources.storage import written
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_SIDE, PIECE_SIDE = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -112,3 +113,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of every text, aligned and counted."""
+    return alignment.scored(table(spark, sf_dir, "documents"), BYTE_SIDE, PIECE_SIDE, public_tokenizers.PATTERN)
