@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import alignment, bpe, decontaminate, html_text, language, line_index, rules, secret_scan, shards, simhash, warc
+from tidepanel.llm import alignment, bpe, decontaminate, html_text, language, line_index, periodic, rules, secret_scan, shards, simhash, warc
 from tidepanel.llm.common import table
 from tidepanel.sources.storage import written
 
@@ -119,3 +119,40 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tokenizers' tokens of every text, aligned and counted."""
     return alignment.scored(table(spark, sf_dir, "documents"), BYTE_SIDE, PIECE_SIDE, public_tokenizers.PATTERN)
+
+
+def op11_planted(docs: DataFrame) -> DataFrame:
+    """The texts of the periodic query: a tenth of the documents, by their ids' checksums, repeat from some word on."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[ \x09-\x0D]+"), lambda w: w != "")
+    row = docs.select("doc_id", "text", crc.alias("crc"), F.when(crc % 10 == 0, words).alias("words"))
+    row = row.withColumn("n", F.expr("nullif(size(words), 0)")).withColumn("g", F.expr("crc div 10"))
+    row = row.withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0, n - 1), i -> get(words, int(if(i < a, i, a + (i - a) % p)))), ' ')")
+    return row.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11(docs: DataFrame) -> DataFrame:
+    """Digests of the runs of every text, after planting."""
+    found = periodic.detected(op11_planted(docs))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    shown = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("top", longest)
+    length, period = F.col("top.length"), -F.col("top.col3")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text."""
+    return op11(table(spark, sf_dir, "documents"))
