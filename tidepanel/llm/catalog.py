@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import alignment, bpe, decontaminate, html_text, language, line_index, periodic, rules, secret_scan, shards, simhash, warc
+from tidepanel.llm import alignment, bpe, decontaminate, html_text, language, line_index, periodic, rules, secret_scan, shards
+from tidepanel.llm import simhash, substrings, warc
 from tidepanel.llm.common import table
 from tidepanel.sources.storage import written
 
@@ -156,3 +157,14 @@ def op11(docs: DataFrame) -> DataFrame:
 def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every text."""
     return op11(table(spark, sf_dir, "documents"))
+
+
+def op12(docs: DataFrame) -> DataFrame:
+    out = substrings.deduplicated(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.size("repeats").alias("n_repeats"))
+
+
+@query
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the passages of twenty words or more that an earlier one has."""
+    return op12(table(spark, sf_dir, "documents"))
