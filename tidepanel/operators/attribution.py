@@ -3,143 +3,172 @@
 A leaf reached through splits on d distinct features is a small game: with feature j known,
 the row either stays on the leaf's path or not; with j unknown, it stays with the share of
 training weight that took that branch.  Its Shapley values depend on the row only through
-the d yes/no answers, so they are tabulated per answer pattern when the model is prepared,
-and scoring a batch is a table lookup per leaf.
+the d yes/no answers, so they are tabulated per answer pattern when the model is prepared: a task
+per tree fills the tables of its leaves, all patterns at once.  Scoring a batch finds the answers of
+all leaves of a tree by interval tests on bins and adds up table entries by feature.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import product
-from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators.lookups import with_metadata
-from tidepanel.sources.storage import shared_folder
+from tidepanel.operators.trees import CLASSES, TreeModel, Trees, node_values, node_weights, to_bins
 
 FAITHFULNESS_TOLERANCE = 1e-4
 TOP_K = 6
+#: The tables of all leaves are broadcast; 300 trees of depth 6 take at most 59 MB.
+MOST_TABLE_BYTES = 256 << 20
+ROWS_AT_ONCE = 1024
 
 
 @dataclass
-class Leaf:
-    """Bounds per path feature and the contribution table over answer patterns."""
+class TreeTable:
+    """Leaves by path feature: bins above ``low`` and up to ``high`` stay on the path; ``values`` by (leaf, slot, pattern).
 
-    features: np.ndarray
+    ``order`` lists the (leaf, slot) pairs by feature and ``starts`` where each of ``features`` begins in it.
+    """
+
+    feature: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    table: np.ndarray
+    values: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+    features: np.ndarray
 
 
 @dataclass
 class Explainer:
     columns: list[str]
+    edges: list[np.ndarray]
     base_value: float
-    leaves: list[Leaf]
+    trees: list[TreeTable]
 
 
-def _pattern_table(value: float, shares: list[float]) -> np.ndarray:
-    d = len(shares)
-    weight = [factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)]
-    table = np.zeros((2**d, d))
-    for row, answers in enumerate(product((0.0, 1.0), repeat=d)):
+def shapley_tables(value: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """(leaf, slot, pattern) for leaves of ``d`` slots; slot i of a pattern is on the path where bit i is set.
+
+    The average over coalition sizes is the integral over x of the product of s(1 - x) + a x over the
+    other slots, a polynomial of degree d - 1, which Gauss-Legendre nodes integrate exactly.
+    """
+    d = shares.shape[1]
+    answers = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+    nodes, weights = np.polynomial.legendre.leggauss(d // 2 + 1)
+    out = np.zeros((len(value), d, 1 << d))
+    for x, w in zip((nodes + 1) / 2, weights / 2):
+        factor = shares[:, :, None] * (1 - x) + answers.T[None] * x
         for j in range(d):
-            # Coefficient k: total weight of coalitions with k of the other features known.
-            poly = np.array([1.0])
-            for i in range(d):
-                if i != j:
-                    poly = np.convolve(poly, [shares[i], answers[i]])
-            table[row, j] = value * (answers[j] - shares[j]) * float(np.dot(weight, poly))
-    return table
-
-
-def _leaves_of(nodes: dict[int, tuple], n_trees: int) -> tuple[float, list[Leaf]]:
-    expected, leaves = 0.0, []
-    root_weight = sum(nodes[0][0])
-
-    def visit(i: int, bounds: dict[int, list[float]]) -> None:
-        nonlocal expected
-        stats, left, right, feature, threshold = nodes[i]
-        if left < 0:
-            value = stats[1] / sum(stats) / n_trees
-            expected += value * sum(stats) / root_weight
-            if bounds:
-                ordered = sorted(bounds)
-                lo, hi, share = (np.array([bounds[f][k] for f in ordered]) for k in range(3))
-                leaves.append(Leaf(np.array(ordered), lo, hi, _pattern_table(value, list(share))))
-            return
-        weight = sum(stats)
-        for child, is_left in ((left, True), (right, False)):
-            lo, hi, share = bounds.get(feature, [-np.inf, np.inf, 1.0])
-            lo, hi = (lo, min(hi, threshold)) if is_left else (max(lo, threshold), hi)
-            visit(child, {**bounds, feature: [lo, hi, share * sum(nodes[child][0]) / weight]})
-
-    visit(0, {})
-    return expected, leaves
-
-
-def build_explainer(model: PipelineModel, columns: Sequence[str], spark: SparkSession) -> Explainer:
-    """Read the node table of a fitted forest.  Its size is fixed by tree count and depth."""
-    path = f"{shared_folder(spark).rstrip('/')}/tidepanel-{uuid.uuid4().hex}/forest"
-    model.stages[-1].save(path)
-    n = F.col("nodeData")
-    rows = (
-        spark.read.parquet(f"{path}/data")
-        .select(
-            "treeID",
-            n["id"].alias("id"),
-            n["impurityStats"].alias("stats"),
-            n["leftChild"].alias("left"),
-            n["rightChild"].alias("right"),
-            n["split"]["featureIndex"].alias("feature"),
-            F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-        )
-        .collect()
-    )
-    trees: dict[int, dict[int, tuple]] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = (list(r["stats"]), r["left"], r["right"], r["feature"], r["threshold"])
-    base, leaves = 0.0, []
-    for nodes in trees.values():
-        expected, found = _leaves_of(nodes, len(trees))
-        base += expected
-        leaves += found
-    return Explainer(list(columns), base, leaves)
+            out[:, j] += w * np.delete(factor, j, axis=1).prod(axis=1)
+    return out * value[:, None, None] * (answers.T[None] - shares[:, :, None])
+
+
+def _paths(feature: np.ndarray, cut: np.ndarray, weight: np.ndarray) -> list[tuple[int, dict[int, list]]]:
+    """Every leaf with [low, high, share] per feature on its path."""
+    out, held = [], [(0, {})]
+    while held:
+        node, bounds = held.pop()
+        f = int(feature[node])
+        if f < 0:
+            out.append((node, bounds))
+            continue
+        for child, is_left in ((2 * node + 1, True), (2 * node + 2, False)):
+            low, high, share = bounds.get(f, [-1, 255, 1.0])
+            at = int(cut[node])
+            low, high = (low, min(high, at)) if is_left else (max(low, at), high)
+            held.append((child, {**bounds, f: [low, high, share * weight[child] / weight[node]]}))
+    return out
+
+
+def tree_table(model: TreeModel, t: int) -> tuple[float, TreeTable]:
+    """Expected value and leaf tables of one tree; leaves with fewer features repeat over the unused bits."""
+    value, weight = node_values(model.plan, model.trees, t) * model.scale, node_weights(model.plan, model.trees, t)
+    paths = _paths(model.trees.feature[t], model.trees.cut[t], weight)
+    base = sum(value[n] * weight[n] for n, _ in paths) / weight[0]
+    paths = [p for p in paths if p[1]]
+    width = max((len(b) for _, b in paths), default=0)
+    shape = len(paths), width
+    feature, low, high = np.full(shape, -1, np.int16), np.full(shape, -1, np.int16), np.full(shape, 255, np.int16)
+    values = np.zeros((*shape, 1 << width))
+    for d in range(1, width + 1):
+        same = [i for i, (_, b) in enumerate(paths) if len(b) == d]
+        if not same:
+            continue
+        found = np.array([[[f, *b[f]] for f in sorted(b)] for b in (paths[i][1] for i in same)])
+        feature[same, :d], low[same, :d], high[same, :d] = found[:, :, 0], found[:, :, 1], found[:, :, 2]
+        table = shapley_tables(value[[paths[i][0] for i in same]], found[:, :, 3])
+        values[same, :d] = np.tile(table, 1 << (width - d))
+    flat = feature.ravel()
+    order = np.argsort(flat, kind="stable")[int((flat < 0).sum()) :]
+    features, starts = np.unique(flat[order], return_index=True)
+    return float(base), TreeTable(np.maximum(feature, 0), low, high, values, order, starts, features)
+
+
+def build_explainer(model: TreeModel, columns: Sequence[str], spark: SparkSession) -> Explainer:
+    """Tables of all leaves, a task per group of trees; refused beyond the size that may be broadcast."""
+    if model.plan.kind != CLASSES or list(columns) != model.columns:
+        raise ValueError("attribution explains a class forest over its own columns")
+    plan, edges = model.plan, model.edges
+    most = plan.trees * (1 << plan.depth) * plan.depth * (8 << plan.depth)
+    if most > MOST_TABLE_BYTES:
+        raise ValueError(f"leaf tables may take {most} bytes, more than {MOST_TABLE_BYTES}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            one = TreeModel(plan, list(columns), edges, Trees.empty(plan.trees, plan.nodes))
+            for row in batch.itertuples(index=False):
+                one.trees.put(0, row[2:])
+                base, table = tree_table(one, 0)
+                parts = [x.tobytes() for x in vars(table).values()]
+                yield pd.DataFrame([(row.tree, base, table.feature.shape[1], parts)], columns=["tree", "base", "width", "parts"])
+
+    dealt = model.table(spark).repartition(max(1, min(plan.trees, 4 * spark.sparkContext.defaultParallelism)), "tree")
+    found = sorted(dealt.mapInPandas(run, "tree int, base double, width int, parts array<binary>").collect(), key=lambda r: r["tree"])
+    return Explainer(list(columns), edges, sum(r["base"] for r in found), [_unpacked(r["width"], r["parts"]) for r in found])
+
+
+def _unpacked(width: int, parts: list[bytes]) -> TreeTable:
+    kinds = (np.int16, np.int16, np.int16, np.float64, np.int64, np.int64, np.int16)
+    feature, low, high, values, order, starts, features = (np.frombuffer(p, k) for p, k in zip(parts, kinds))
+    shape = (-1, width) if width else (0, 0)
+    return TreeTable(*(x.reshape(shape) for x in (feature, low, high)), values.reshape(*feature.reshape(shape).shape, -1 if width else 1), order, starts, features)
+
+
+def contributions(bins: np.ndarray, trees: Sequence[TreeTable]) -> np.ndarray:
+    """(row, feature) contributions of binned rows, a chunk of rows and a tree at a time."""
+    phi = np.zeros(bins.shape)
+    for s in range(0, len(bins), ROWS_AT_ONCE):
+        part = bins[s : s + ROWS_AT_ONCE]
+        for t in trees:
+            if not len(t.order):
+                continue
+            width = t.feature.shape[1]
+            found = part[:, t.feature]
+            pattern = ((found > t.low) & (found <= t.high)) @ (1 << np.arange(width))
+            cell = t.order * (1 << width) + pattern[:, t.order // width]
+            phi[s : s + len(part), t.features] += np.add.reduceat(t.values.ravel()[cell], t.starts, axis=1)
+    return phi
 
 
 def attribute(frame: DataFrame, explainer: Explainer, keep: Sequence[str]) -> DataFrame:
     """(keep, base_value, contributions array<double> in column order, reconstructed)."""
-    spark = frame.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (
-            explainer.columns,
-            explainer.base_value,
-            [(leaf.features, leaf.low, leaf.high, leaf.table) for leaf in explainer.leaves],
-        )
-    )
+    shared = frame.sparkSession.sparkContext.broadcast(explainer)
     keep = list(keep)
 
     def explain_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, base, leaves = shared.value
+        e = shared.value
         for batch in batches:
-            x = batch[columns].to_numpy(dtype=float)
-            phi = np.zeros_like(x)
-            for features, low, high, table in leaves:
-                values = x[:, features]
-                on_path = (values > low) & (values <= high)
-                place = 1 << np.arange(len(features))[::-1]
-                phi[:, features] += table[on_path @ place]
+            phi = contributions(to_bins(batch[e.columns].to_numpy(dtype=float), e.edges), e.trees)
             out = batch[keep].copy()
-            out["base_value"] = base
+            out["base_value"] = e.base_value
             out["contributions"] = list(phi)
-            out["reconstructed"] = base + phi.sum(axis=1)
+            out["reconstructed"] = e.base_value + phi.sum(axis=1)
             yield out
 
     source = frame.select(*keep, *[c for c in explainer.columns if c not in keep])

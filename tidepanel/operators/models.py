@@ -1,20 +1,22 @@
-"""Distributed training, scoring, calibration and artifacts on pyspark.ml."""
+"""Distributed training, scoring, calibration and artifacts: logistic models of pyspark.ml, trees of our own."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+
+import numpy as np
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions.numeric import count_where
+from tidepanel.operators import trees
 from tidepanel.operators.metrics import LABEL
 from tidepanel.operators.quality import assert_feature_columns
 
@@ -22,7 +24,7 @@ SEED = 42
 
 # Hyperparameters of the published runs.
 FOREST = dict(numTrees=300, maxDepth=6, minInstancesPerNode=20, maxBins=64)
-BOOSTING = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=64)
+BOOSTING = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureShare=0.8, maxBins=64)
 LOGISTIC_MAX_ITER = 2000
 
 
@@ -47,10 +49,6 @@ def balanced_weight(counts: ClassCounts, label: str = LABEL) -> Column:
     return F.when(F.col(label) == 1, half / max(counts.positive, 1)).otherwise(half / max(counts.negative, 1))
 
 
-def positive_weight(counts: ClassCounts, label: str = LABEL) -> Column:
-    return F.when(F.col(label) == 1, counts.negative / max(counts.positive, 1)).otherwise(1.0)
-
-
 def _prepared(frame: DataFrame, weight: Column, label: str) -> DataFrame:
     return frame.withColumns({"_weight": weight, "_label": F.col(label).cast("double")})
 
@@ -72,52 +70,71 @@ def fit_logistic(frame: DataFrame, columns: Sequence[str], label: str = LABEL, c
     return _fit(frame, columns, [scaler, model], balanced_weight(counts, label), label)
 
 
-def fit_forest(frame: DataFrame, columns: Sequence[str], label: str = LABEL, **overrides) -> PipelineModel:
-    model = RandomForestClassifier(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", probabilityCol="_probability", rawPredictionCol="_raw",
-        predictionCol="_prediction", seed=SEED, **{**FOREST, **overrides},
-    )
-    return _fit(frame, columns, [model], balanced_weight(class_counts(frame, label), label), label)
+def _keys(frame: DataFrame, columns: Sequence[str]) -> list[str]:
+    """What names a row for the draws: entity and day, or the features themselves."""
+    return [c for c in ("merchant_id", "day_index") if c in frame.columns] or list(columns)
 
 
-def fit_boosting(frame: DataFrame, columns: Sequence[str], label: str = LABEL, **overrides) -> PipelineModel:
-    model = GBTClassifier(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_prediction", seed=SEED,
-        **{**BOOSTING, **overrides},
-    )
-    model.setProbabilityCol("_probability").setRawPredictionCol("_raw")
-    return _fit(frame, columns, [model], positive_weight(class_counts(frame, label), label), label)
+def _grown(frame: DataFrame, columns: Sequence[str], target: str, plan: trees.Plan, by: str | None) -> dict[int, trees.TreeModel]:
+    assert_feature_columns(columns)
+    return trees.fit(frame, columns, target, plan, _keys(frame, columns), by)
 
 
-def fit_regression_forest(frame: DataFrame, columns: Sequence[str], target: str, **overrides) -> PipelineModel:
-    """Forest on log1p of the target; score with :func:`predict_amount`."""
-    assert_feature_columns(columns)
-    model = RandomForestRegressor(
-        featuresCol="_features", labelCol="_label", predictionCol="_prediction", featureSubsetStrategy="all", seed=SEED,
-        **{**FOREST, **overrides},
-    )
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="_features")
-    return Pipeline(stages=[assembler, model]).fit(frame.withColumn("_label", F.log1p(target)))
+def fit_forests(frame: DataFrame, columns: Sequence[str], by: str | None, label: str = LABEL, **overrides) -> dict[int, trees.TreeModel]:
+    """A class forest per value of ``by``, balanced within each bootstrap sample, sqrt(features) tried per split."""
+    p = {**FOREST, **overrides}
+    plan = trees.Plan(trees.CLASSES, p["numTrees"], p["maxDepth"], p["maxBins"], p["minInstancesPerNode"], max(1, int(len(columns) ** 0.5)), seed=SEED)
+    return _grown(frame, columns, label, plan, by)
+
+
+def fit_boostings(frame: DataFrame, columns: Sequence[str], by: str | None, label: str = LABEL, **overrides) -> dict[int, trees.TreeModel]:
+    """Second-order boosting of the log loss per value of ``by``; positives weigh as much as negatives."""
+    p = {**BOOSTING, **overrides}
+    tried = max(1, int(p["featureShare"] * len(columns)))
+    plan = trees.Plan(trees.BOOSTING, p["maxIter"], p["maxDepth"], p["maxBins"], features=tried, rate=p["stepSize"], share=p["subsamplingRate"], seed=SEED)
+    return _grown(frame, columns, label, plan, by)
+
+
+def fit_regression_forests(frame: DataFrame, columns: Sequence[str], target: str, by: str | None, **overrides) -> dict[int, trees.TreeModel]:
+    """A forest on log1p of the target per value of ``by``, every feature tried; score with :func:`predict_amount`."""
+    p = {**FOREST, **overrides}
+    plan = trees.Plan(trees.VALUES, p["numTrees"], p["maxDepth"], p["maxBins"], p["minInstancesPerNode"], seed=SEED)
+    return _grown(frame.withColumn("_target", F.log1p(target)), columns, "_target", plan, by)
+
+
+def fit_forest(frame: DataFrame, columns: Sequence[str], label: str = LABEL, **overrides) -> trees.TreeModel:
+    return fit_forests(frame, columns, None, label, **overrides)[0]
+
+
+def fit_boosting(frame: DataFrame, columns: Sequence[str], label: str = LABEL, **overrides) -> trees.TreeModel:
+    return fit_boostings(frame, columns, None, label, **overrides)[0]
+
+
+def fit_regression_forest(frame: DataFrame, columns: Sequence[str], target: str, **overrides) -> trees.TreeModel:
+    return fit_regression_forests(frame, columns, target, None, **overrides)[0]
 
 
 def _public(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
-def predict(model: PipelineModel, frame: DataFrame, name: str = "probability") -> DataFrame:
+Model = PipelineModel | trees.TreeModel
+
+
+def predict(model: Model, frame: DataFrame, name: str = "probability") -> DataFrame:
     """Add the positive-class probability."""
-    scored = model.transform(frame).withColumn(name, vector_to_array("_probability")[1])
-    return _public(scored)
+    if isinstance(model, trees.TreeModel):
+        return model.score(frame, name)
+    return _public(model.transform(frame).withColumn(name, vector_to_array("_probability")[1]))
 
 
-def predict_amount(model: PipelineModel, frame: DataFrame, name: str = "forecast") -> DataFrame:
-    return _public(model.transform(frame).withColumn(name, F.expm1("_prediction")))
+def predict_amount(model: trees.TreeModel, frame: DataFrame, name: str = "forecast") -> DataFrame:
+    return model.score(frame, name).withColumn(name, F.expm1(name))
 
 
-def importances(model: PipelineModel, columns: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
+def importances(model: trees.TreeModel, columns: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
     """(model, feature, importance, rank) by descending importance."""
-    values = model.stages[-1].featureImportances.toArray()
-    ranked = sorted(zip(columns, map(float, values)), key=lambda p: (-p[1], p[0]))
+    ranked = sorted(zip(columns, map(float, model.importances())), key=lambda p: (-p[1], p[0]))
     return spark.createDataFrame(
         [(name, f, v, i) for i, (f, v) in enumerate(ranked, 1)], "model string, feature string, importance double, rank int"
     )
@@ -158,10 +175,12 @@ def fit_platt(scored: DataFrame, score: str = "probability", label: str = LABEL)
 
 # --- artifacts -------------------------------------------------------------------------------
 
+ARTIFACT_TYPE = "binned_forest"
+
 
 @dataclass
 class Artifact:
-    model: PipelineModel
+    model: trees.TreeModel
     platt: PlattScaling
     horizon_days: int
     decision_threshold: float
@@ -172,7 +191,7 @@ class Artifact:
 
     def sidecar(self) -> dict:
         return {
-            "artifact_type": "PipelineModel",
+            "artifact_type": ARTIFACT_TYPE,
             "horizon_days": self.horizon_days,
             "decision_threshold": self.decision_threshold,
             "feature_columns_in_order": self.feature_columns,
@@ -197,14 +216,17 @@ class Artifact:
 
 
 def save_artifact(artifact: Artifact, path: str, spark: SparkSession) -> None:
-    artifact.model.write().overwrite().save(f"{path}/model")
+    model = artifact.model
+    model.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    described = json.dumps({"plan": asdict(model.plan), "columns": model.columns, "edges": [e.tolist() for e in model.edges]})
+    spark.createDataFrame([(described,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
     spark.createDataFrame([(json.dumps(artifact.sidecar()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/sidecar")
 
 
 def load_artifact(path: str, spark: SparkSession, horizon_days: int, n_features: int) -> Artifact:
     """Load and refuse an artifact of another horizon, feature count or type."""
     meta = json.loads(spark.read.text(f"{path}/sidecar").first()["value"])
-    if meta.get("artifact_type") != "PipelineModel":
+    if meta.get("artifact_type") != ARTIFACT_TYPE:
         raise ValueError(f"unexpected artifact type {meta.get('artifact_type')!r}")
     if meta["horizon_days"] != horizon_days:
         raise ValueError(f"artifact horizon {meta['horizon_days']} is not {horizon_days}")
@@ -212,8 +234,12 @@ def load_artifact(path: str, spark: SparkSession, horizon_days: int, n_features:
     if len(columns) != n_features:
         raise ValueError(f"artifact has {len(columns)} features, expected {n_features}")
     assert_feature_columns(columns)
-    model = PipelineModel.load(f"{path}/model")
-    if list(model.stages[0].getInputCols()) != columns:
+    described = json.loads(spark.read.text(f"{path}/model").first()["value"])
+    plan = trees.Plan(**described["plan"])
+    model = trees.TreeModel(plan, described["columns"], [np.array(e, float) for e in described["edges"]], trees.Trees.empty(plan.trees, plan.nodes))
+    for row in spark.read.parquet(f"{path}/trees").collect():
+        model.trees.put(row["tree"], row[2:])
+    if model.columns != columns:
         raise ValueError("the model's inputs differ from the recorded feature columns")
     return Artifact(
         model=model,
