@@ -21,9 +21,9 @@ def test_registered_queries_train_the_published_sizes(monkeypatch, name):
         raise Asked(given or [sizes])
 
     monkeypatch.setattr(model_queries, "model_frame", lambda *_: None)
-    monkeypatch.setattr(model_queries, "model_frames", lambda *_: {30: None})
     monkeypatch.setattr(model_queries, "role", lambda *_: None)
-    for place, f in [(model_queries, "fit_all"), (model_queries, "calibrated_forest"), (models, "fit_forest"), (models, "fit_regression_forest")]:
+    monkeypatch.setattr(models, "training_rows", lambda *_: None)
+    for place, f in [(model_queries, "fit_all"), (model_queries, "calibrated_forest"), (models, "fit_forests"), (models, "fit_regression_forests")]:
         monkeypatch.setattr(place, f, fit)
     with pytest.raises(Asked) as asked:
         REGISTRY[name](None, "")

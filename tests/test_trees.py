@@ -26,6 +26,11 @@ PLANS = [
 ]
 
 
+def fit(frame, columns, target, plan, keys, model=None, **how):
+    scale = trees.FIXED_POINT if plan.kind == VALUES else 1.0
+    return trees.fit(trees.prepare(frame, columns, target, keys, model, plan.bins, scale), plan, **how)
+
+
 def same(x, y):
     return all(np.array_equal(getattr(x.trees, f), getattr(y.trees, f)) for f in ("feature", "cut", "size", "target"))
 
@@ -33,13 +38,13 @@ def same(x, y):
 @pytest.mark.parametrize("plan,target", PLANS)
 def test_both_ways_grow_the_same_trees(frame, plan, target, monkeypatch):
     monkeypatch.setattr(trees, "MARGIN_ROUNDS", 2)
-    here = trees.fit(frame, COLUMNS, target, plan, ["id"], "horizon")
-    there = trees.fit(frame.repartition(7), COLUMNS, target, plan, ["id"], "horizon", most_bytes=0)
+    here = fit(frame, COLUMNS, target, plan, ["id"], "horizon")
+    there = fit(frame.repartition(7), COLUMNS, target, plan, ["id"], "horizon", most_bytes=0)
     assert set(here) == set(there) == {7, 8}
     for m in here:
         if [e.tolist() for e in here[m].edges] == [e.tolist() for e in there[m].edges]:  # approximate cut points
             assert same(here[m], there[m])
-    alone = trees.fit(frame.where("horizon = 7"), COLUMNS, target, plan, ["id"], "horizon")
+    alone = fit(frame.where("horizon = 7"), COLUMNS, target, plan, ["id"], "horizon")
     assert (alone[7].trees.feature[:, 0] >= 0).all()
 
 
@@ -79,7 +84,7 @@ def plain_tree(plan, bins, a, b, chosen_of, root, node=0, level=0):
 
 @pytest.mark.parametrize("plan,target", PLANS)
 def test_trees_equal_a_plain_search(frame, plan, target):
-    model = trees.fit(frame.where("horizon = 7"), COLUMNS, target, plan, ["id"])[0]
+    model = fit(frame.where("horizon = 7"), COLUMNS, target, plan, ["id"])[0]
     scale = trees.FIXED_POINT if plan.kind == VALUES else 1.0
     rows = trees.binned(frame.where("horizon = 7").withColumn("_model", F.lit(0)), COLUMNS, target, ["id"], model.edges, scale).toPandas()
     bins, keys, y = trees._arrays(rows, len(COLUMNS))
@@ -107,7 +112,7 @@ def test_draws_hang_on_the_row_alone():
 
 def test_scores_separate_and_importances_sum_to_one(frame):
     for plan, target in PLANS:
-        model = trees.fit(frame, COLUMNS, target, Plan(plan.kind, 30, 4, bins=32, features=plan.features, rate=0.2), ["id"])[0]
+        model = fit(frame, COLUMNS, target, Plan(plan.kind, 30, 4, bins=32, features=plan.features, rate=0.2), ["id"])[0]
         scored = model.score(frame, "s")
         assert scored.corr("s", target) > 0.6
         assert model.importances().sum() == pytest.approx(1) and model.importances().argmax() in (0, 1)
@@ -115,8 +120,16 @@ def test_scores_separate_and_importances_sum_to_one(frame):
 
 def test_awkward_values(spark):
     rows = spark.createDataFrame([(i, float("nan") if i % 5 == 0 else float(i), 1.0, i % 2) for i in range(60)], "id long, a double, b double, y int")
-    model = trees.fit(rows, ["a", "b"], "y", Plan(CLASSES, 2, 2, least_rows=5), ["id"])[0]
+    model = fit(rows, ["a", "b"], "y", Plan(CLASSES, 2, 2, least_rows=5), ["id"])[0]
     assert (model.trees.feature != 1).all()  # a constant never splits
     assert model.score(rows, "s").where("s between 0 and 1").count() == 60
-    one_class = trees.fit(rows.withColumn("y", F.lit(0)), ["a", "b"], "y", Plan(CLASSES, 2, 2), ["id"])[0]
+    one_class = fit(rows.withColumn("y", F.lit(0)), ["a", "b"], "y", Plan(CLASSES, 2, 2), ["id"])[0]
     assert one_class.score(rows, "s").agg(F.max("s")).first()[0] == 0
+
+
+def test_rows_without_target_are_left_out(spark):
+    rows = spark.createDataFrame([(i, float(i) if i % 7 else None, None if i % 5 == 0 else i % 2) for i in range(60)], "id long, a double, y int")
+    model = fit(rows, ["a"], "y", Plan(CLASSES, 2, 2, least_rows=5), ["id"])[0]
+    assert model.score(rows, "s").where("s between 0 and 1").count() == 60
+    assert trees.prepare(rows.limit(0), ["a"], "y", ["id"]).counts == {}
+    assert trees.fit(trees.prepare(rows.limit(0), ["a"], "y", ["id"]), PLANS[0][0]) == {}

@@ -75,39 +75,43 @@ def _keys(frame: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in ("merchant_id", "day_index") if c in frame.columns] or list(columns)
 
 
-def _grown(frame: DataFrame, columns: Sequence[str], target: str, plan: trees.Plan, by: str | None) -> dict[int, trees.TreeModel]:
+def training_rows(frame: DataFrame, columns: Sequence[str], by: str | None = None, label: str = LABEL) -> trees.Binned:
+    """The rows of a frame binned for every tree model that learns ``label``."""
     assert_feature_columns(columns)
-    return trees.fit(frame, columns, target, plan, _keys(frame, columns), by)
+    return trees.prepare(frame, columns, label, _keys(frame, columns), by, FOREST["maxBins"])
 
 
-def fit_forests(frame: DataFrame, columns: Sequence[str], by: str | None, label: str = LABEL, **overrides) -> dict[int, trees.TreeModel]:
-    """A class forest per value of ``by``, balanced within each bootstrap sample, sqrt(features) tried per split."""
+def fit_forests(rows: trees.Binned, **overrides) -> dict[int, trees.TreeModel]:
+    """A class forest per model of the rows, balanced within each bootstrap sample, sqrt(features) tried per split."""
     p = {**FOREST, **overrides}
-    plan = trees.Plan(trees.CLASSES, p["numTrees"], p["maxDepth"], p["maxBins"], p["minInstancesPerNode"], max(1, int(len(columns) ** 0.5)), seed=SEED)
-    return _grown(frame, columns, label, plan, by)
+    tried = max(1, int(len(rows.columns) ** 0.5))
+    plan = trees.Plan(trees.CLASSES, p["numTrees"], p["maxDepth"], p["maxBins"], p["minInstancesPerNode"], tried, seed=SEED)
+    return trees.fit(rows, plan)
 
 
-def fit_boostings(frame: DataFrame, columns: Sequence[str], by: str | None, label: str = LABEL, **overrides) -> dict[int, trees.TreeModel]:
-    """Second-order boosting of the log loss per value of ``by``; positives weigh as much as negatives."""
+def fit_boostings(rows: trees.Binned, **overrides) -> dict[int, trees.TreeModel]:
+    """Second-order boosting of the log loss per model of the rows; positives weigh as much as negatives."""
     p = {**BOOSTING, **overrides}
-    tried = max(1, int(p["featureShare"] * len(columns)))
+    tried = max(1, int(p["featureShare"] * len(rows.columns)))
     plan = trees.Plan(trees.BOOSTING, p["maxIter"], p["maxDepth"], p["maxBins"], features=tried, rate=p["stepSize"], share=p["subsamplingRate"], seed=SEED)
-    return _grown(frame, columns, label, plan, by)
+    return trees.fit(rows, plan)
 
 
 def fit_regression_forests(frame: DataFrame, columns: Sequence[str], target: str, by: str | None, **overrides) -> dict[int, trees.TreeModel]:
     """A forest on log1p of the target per value of ``by``, every feature tried; score with :func:`predict_amount`."""
+    assert_feature_columns(columns)
     p = {**FOREST, **overrides}
     plan = trees.Plan(trees.VALUES, p["numTrees"], p["maxDepth"], p["maxBins"], p["minInstancesPerNode"], seed=SEED)
-    return _grown(frame.withColumn("_target", F.log1p(target)), columns, "_target", plan, by)
+    aimed = frame.withColumn("_target", F.log1p(target))
+    return trees.fit(trees.prepare(aimed, columns, "_target", _keys(frame, columns), by, p["maxBins"], trees.FIXED_POINT), plan)
 
 
 def fit_forest(frame: DataFrame, columns: Sequence[str], label: str = LABEL, **overrides) -> trees.TreeModel:
-    return fit_forests(frame, columns, None, label, **overrides)[0]
+    return fit_forests(training_rows(frame, columns, None, label), **overrides)[0]
 
 
 def fit_boosting(frame: DataFrame, columns: Sequence[str], label: str = LABEL, **overrides) -> trees.TreeModel:
-    return fit_boostings(frame, columns, None, label, **overrides)[0]
+    return fit_boostings(training_rows(frame, columns, None, label), **overrides)[0]
 
 
 def fit_regression_forest(frame: DataFrame, columns: Sequence[str], target: str, **overrides) -> trees.TreeModel:

@@ -143,6 +143,10 @@ def candidates(plan: Plan, width: int, model: int, tree: int, nodes: Sequence[in
 def histograms(bins: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, chosen: np.ndarray, n_bins: int) -> np.ndarray:
     """(node, candidate, bin, 2) integer sums of ``a`` and ``b``; ``place`` is the row's node among the level's."""
     nodes, width = chosen.shape
+    if (chosen == chosen[0]).all():
+        start = place * n_bins
+        sums = [[np.bincount(start + bins[:, f], w, nodes * n_bins).reshape(nodes, n_bins) for w in (a, b)] for f in chosen[0]]
+        return np.rint(np.array(sums)).astype(np.int64).transpose(2, 0, 3, 1)
     out = np.zeros((2, nodes * width * n_bins))
     offset = np.arange(width) * n_bins
     for s in range(0, len(place), ROWS_AT_ONCE):
@@ -476,21 +480,36 @@ class TreeModel:
 NAMES = ["model", "tree", "feature", "cut", "size", "target", "gain"]
 
 
-def fit(
-    frame: DataFrame, columns: Sequence[str], target: str, plan: Plan, keys: Sequence[str], model: str | None = None,
-    most_bytes: int = MOST_BROADCAST_BYTES,
-) -> dict[int, TreeModel]:
-    """One model per value of the integer column ``model`` (key 0 without one), all grown together.
+@dataclass
+class Binned:
+    """Training rows of one or more models as bytes, written once; any number of fits start from them."""
+
+    rows: DataFrame
+    columns: list[str]
+    edges: list[np.ndarray]
+    counts: dict[int, tuple[int, int]]
+
+    @property
+    def size(self) -> int:
+        return sum(n for n, _ in self.counts.values()) * (len(self.columns) + 32)
+
+
+def prepare(frame: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str], model: str | None = None, bins: int = 64, scale: float = 1.0) -> Binned:
+    """Bin the rows of one model per value of the integer column ``model`` (0 without one).
 
-    ``keys`` name a row; draws hang on them, so repeated keys are drawn alike.  A target is a class (0, 1)
-    or, for ``VALUES``, a number.  A null value of a feature or target raises.
+    ``keys`` name a row; draws hang on them, so repeated keys are drawn alike.  A null feature counts as NaN,
+    which sorts last; rows without a target are left out.
     """
-    keyed = frame.withColumn("_model", F.col(model).cast("long") if model else F.lit(0).cast("long"))
-    edges = bin_edges(keyed, columns, plan.bins)
-    scale = FIXED_POINT if plan.kind == VALUES else 1.0
+    keyed = frame.where(F.col(target).isNotNull()).withColumn("_model", F.col(model).cast("long") if model else F.lit(0).cast("long"))
+    edges = bin_edges(keyed, columns, bins)
     rows = written(binned(keyed, columns, target, keys, edges, scale), "binned")
-    counts = {r["model"]: r for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()}
-    weights = {int(m): (r["n"] - r["p"]) / max(r["p"], 1) if plan.kind == BOOSTING else 1.0 for m, r in counts.items()}
-    small = sum(r["n"] for r in counts.values()) * (len(columns) + 32) <= most_bytes
-    grown = (_grow_broadcast if small else _grow_by_level)(rows, plan, len(columns), weights)
-    return {m: TreeModel(plan, list(columns), edges, t) for m, t in grown.items()}
+    counts = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()
+    return Binned(rows, list(columns), edges, {int(r["model"]): (r["n"], r["p"]) for r in counts})
+
+
+def fit(data: Binned, plan: Plan, most_bytes: int = MOST_BROADCAST_BYTES) -> dict[int, TreeModel]:
+    """A model per key of the binned rows, all grown together."""
+    weights = {m: (n - p) / max(p, 1) if plan.kind == BOOSTING else 1.0 for m, (n, p) in data.counts.items()}
+    way = _grow_broadcast if data.size <= most_bytes else _grow_by_level
+    grown = way(data.rows, plan, len(data.columns), weights)
+    return {m: TreeModel(plan, data.columns, data.edges, t) for m, t in grown.items()}

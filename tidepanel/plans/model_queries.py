@@ -12,7 +12,7 @@ from tidepanel.operators.features import feature_columns, manifest, manifest_df
 from tidepanel.operators.metrics import LABEL
 from tidepanel.plans.decision_queries import HORIZON
 from tidepanel.plans.registry import query, rounded
-from tidepanel.plans.training import ID_COLUMNS, calibrated_forest, evaluate, fit_all, model_frame, model_frames, role, score_all
+from tidepanel.plans.training import ID_COLUMNS, baseline_scores, calibrated_forest, compare, decide, fit_all, model_frame, role, score_all
 from tidepanel.sources.storage import written
 
 KEYS = ["merchant_id", "as_of_date", "day_index"]
@@ -20,46 +20,61 @@ KEYS = ["merchant_id", "as_of_date", "day_index"]
 
 @query("model_comparison")
 def _(d):
-    """Three models at every horizon."""
-    scored = [score_all(frame, fit_all(frame, models.FOREST, models.BOOSTING)) for frame in model_frames(d).values()]
-    return rounded(evaluate(reduce(DataFrame.unionByName, scored)))
+    """The threshold baseline and three models at every horizon."""
+    frame = model_frame(d)
+    scored = score_all(frame, fit_all(frame, models.FOREST, models.BOOSTING)).unionByName(baseline_scores(frame))
+    return rounded(compare(written(decide(scored), "decided")))
 
 
 @query("shortcut_audit")
 def _(d):
-    """Importance concentration, single-feature AUCs and column rules in one verdict per model."""
-    frame = model_frame(d, HORIZON)
-    fitted = fit_all(frame, models.FOREST, models.BOOSTING)
-    ranked = [models.importances(fitted[m], feature_columns(), m, d.spark) for m in ("random_forest", "gradient_boosting")]
-    concentration = metrics.importance_concentration(reduce(DataFrame.unionByName, ranked))
-    long = quality.long_form(role(frame, "train"), [LABEL], feature_columns(), "feature")
-    suspicious = metrics.single_feature_audit(long, []).agg(F.max("suspicious")).scalar()
-    names = d.spark.createDataFrame([(c,) for c in feature_columns()], "column_name string")
+    """Importance concentration, single-feature AUCs and column rules in one verdict per model and horizon."""
+    frame = model_frame(d)
+    train = role(frame, "train")
+    rows = models.training_rows(train, feature_columns(), "horizon_days")
+    fitted = {"random_forest": models.fit_forests(rows, **models.FOREST), "gradient_boosting": models.fit_boostings(rows, **models.BOOSTING)}
+    return rounded(shortcut_verdicts(d.spark, train, fitted))
+
+
+def shortcut_verdicts(spark, train, fitted):
+    concentration = metrics.importance_concentration(ranked_importances(spark, fitted), ["horizon_days", "model"])
+    long = quality.long_form(train, ["horizon_days", LABEL], feature_columns(), "feature")
+    suspicious = metrics.single_feature_audit(long, ["horizon_days"]).groupBy("horizon_days").agg(F.max("suspicious").alias("any_suspicious_feature"))
+    names = spark.createDataFrame([(c,) for c in feature_columns()], "column_name string")
     violation = quality.column_audit(names).agg(F.max("violation")).scalar()
-    return rounded(
-        concentration.withColumns({"any_suspicious_feature": suspicious, "any_forbidden_column": violation}).withColumn(
-            "overall_pass", ~F.col("any_suspicious_feature") & ~F.col("any_forbidden_column") & ~F.col("dominant")
-        )
+    return concentration.join(suspicious, "horizon_days").withColumn("any_forbidden_column", violation).withColumn(
+        "overall_pass", ~F.col("any_suspicious_feature") & ~F.col("any_forbidden_column") & ~F.col("dominant")
     )
 
 
+def ranked_importances(spark, fitted):
+    """(model, feature, importance, rank, horizon_days) of the tree models."""
+    parts = [
+        models.importances(m, feature_columns(), name, spark).withColumn("horizon_days", F.lit(h))
+        for name, by_horizon in fitted.items()
+        for h, m in by_horizon.items()
+        if hasattr(m, "importances")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("forest_importances")
 def _(d):
-    parts = []
-    for horizon, frame in model_frames(d).items():
-        model = models.fit_forest(role(frame, "train"), feature_columns(), **models.FOREST)
-        ranked = models.importances(model, feature_columns(), "random_forest", d.spark)
-        parts.append(ranked.withColumn("horizon_days", F.lit(horizon)))
-    return reduce(DataFrame.unionByName, parts)
+    train = role(model_frame(d), "train")
+    rows = models.training_rows(train, feature_columns(), "horizon_days")
+    return ranked_importances(d.spark, {"random_forest": models.fit_forests(rows, **models.FOREST)})
 
 
 @query("forecast_comparison")
 def _(d):
     """Naive persistence against a forest on log1p of the amount, at every horizon."""
-    parts = []
-    for frame in model_frames(d).values():
-        model = models.fit_regression_forest(role(frame, "train"), feature_columns(), "future_chargeback_amount", **models.FOREST)
-        parts.append(models.predict_amount(model, role(frame, "normal_test")))
+    return rounded(forecasts(model_frame(d), models.FOREST), 4)
+
+
+def forecasts(frame, forest):
+    fitted = models.fit_regression_forests(role(frame, "train"), feature_columns(), "future_chargeback_amount", "horizon_days", **forest)
+    test = role(frame, "normal_test")
+    parts = [models.predict_amount(m, test.where(F.col("horizon_days") == h)) for h, m in fitted.items()]
     test = reduce(DataFrame.unionByName, parts).withColumn(
         "naive", F.col("baseline_daily_chargeback_amount_trailing") * F.col("horizon_days")
     )
@@ -73,7 +88,7 @@ def _(d):
             )
         ).alias("m"),
     ).select("horizon_days", "future_chargeback_amount", "m.*")
-    return rounded(metrics.regression_metrics(both, ["model", "horizon_days"], "future_chargeback_amount", "value"), 4)
+    return metrics.regression_metrics(both, ["model", "horizon_days"], "future_chargeback_amount", "value")
 
 
 @query("calibration_comparison")

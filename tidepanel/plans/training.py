@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,75 +13,105 @@ from tidepanel.operators import episodes, metrics, models, splits
 from tidepanel.operators.features import feature_columns
 from tidepanel.operators.labels import HORIZONS
 from tidepanel.operators.metrics import LABEL
-from tidepanel.plans.evaluation import roles_frame
+from tidepanel.plans.evaluation import BASELINE_SIGNAL, roles_frame
 from tidepanel.plans.inputs import Dataset
 from tidepanel.sources.storage import written
 
 ID_COLUMNS = ["merchant_id", "archetype", "as_of_date", "day_index", "horizon_days", "frame_role", LABEL, "future_chargeback_amount", "baseline_daily_chargeback_amount_trailing"]
+VOLUME = "transaction_count_level_28d"
+#: What travels with a score: the row's identity and the volume that errors are broken down by.
+SCORED = [*ID_COLUMNS, VOLUME]
+BASELINE = "historical_threshold_baseline"
 
 
-def model_frame(d: Dataset, horizon_days: int) -> DataFrame:
-    """All roles of one horizon with all features, written once: every fit reads it many times."""
-    return model_frames(d, [horizon_days])[horizon_days]
-
-
-def model_frames(d: Dataset, horizons: Sequence[int] = HORIZONS) -> dict[int, DataFrame]:
-    """The frame of each horizon, all written in one pass over the panel."""
-    frame = roles_frame(d, feature_columns()).where(F.col("horizon_days").isin(list(horizons)))
-    frame = written(frame.select(*ID_COLUMNS, *feature_columns()), "frames")
-    return {h: frame.where(F.col("horizon_days") == h) for h in horizons}
+def model_frame(d: Dataset, horizons: int | Sequence[int] = HORIZONS) -> DataFrame:
+    """All roles of one or more horizons with all features, written once: every fit reads it."""
+    chosen = [horizons] if isinstance(horizons, int) else list(horizons)
+    frame = roles_frame(d, feature_columns()).where(F.col("horizon_days").isin(chosen))
+    return written(frame.select(*ID_COLUMNS, *feature_columns()), "frames")
 
 
 def role(frame: DataFrame, name: str) -> DataFrame:
     return frame.where(F.col("frame_role") == name)
 
 
-def fit_all(frame: DataFrame, forest: dict, boosting: dict) -> dict:
-    train, columns = role(frame, "train"), feature_columns()
-    return {
-        "logistic_regression": models.fit_logistic(train, columns),
-        "random_forest": models.fit_forest(train, columns, **forest),
-        "gradient_boosting": models.fit_boosting(train, columns, **boosting),
-    }
-
+def fit_all(frame: DataFrame, forest: dict, boosting: dict) -> dict[str, dict[int, models.Model]]:
+    """Every model at every horizon of the frame.
 
-def score_all(frame: DataFrame, fitted: dict) -> DataFrame:
-    """Long by model: one scored copy of the held-out rows per model, written once."""
+    The trees of all horizons grow together from one binned table; the logistic fits, whose iterations are
+    short jobs, run beside them in threads of this session.
+    """
+    train, columns = role(frame, "train"), feature_columns()
+    rows = models.training_rows(train, columns, "horizon_days")
+    with ThreadPoolExecutor(max_workers=2 + len(rows.counts)) as pool:
+        logistic = {h: pool.submit(models.fit_logistic, train.where(F.col("horizon_days") == h), columns) for h in sorted(rows.counts)}
+        boosted, forests = pool.submit(models.fit_boostings, rows, **boosting), pool.submit(models.fit_forests, rows, **forest)
+        return {
+            "logistic_regression": {h: f.result() for h, f in logistic.items()},
+            "random_forest": forests.result(),
+            "gradient_boosting": boosted.result(),
+        }
+
+
+def score_all(frame: DataFrame, fitted: dict[str, dict[int, models.Model]]) -> DataFrame:
+    """Long by model: one scored copy of the held-out rows per model, written once.
+
+    ``score`` ranks and meets thresholds; for these models it is the probability.
+    """
     held_out = frame.where(F.col("frame_role") != "train")
     parts = [
-        models.predict(m, held_out).select(*ID_COLUMNS, "probability", F.lit(name).alias("model")) for name, m in fitted.items()
+        models.predict(m, held_out.where(F.col("horizon_days") == h)).select(
+            *SCORED, "probability", F.col("probability").alias("score"), F.lit(name).alias("model")
+        )
+        for name, by_horizon in fitted.items()
+        for h, m in by_horizon.items()
     ]
     return written(reduce(DataFrame.unionByName, parts), "scored")
 
 
-def evaluate(scored: DataFrame) -> DataFrame:
-    """Model x horizon comparison: threshold from validation, metrics on test and stress rows."""
-    by = ["model", "horizon_days"]
-    chosen = metrics.ranking_metrics(
-        metrics.score_table(role(scored, "val"), by, "probability"), by
-    ).select(*by, F.col("best_f1_threshold").alias("decision_threshold"))
-    decided = written(
-        scored.join(chosen, by).withColumn("predicted", F.col("probability") >= F.col("decision_threshold")), "decided"
-    )
-    test, stress = role(decided, "normal_test"), role(decided, "stress_test")
+def baseline_scores(frame: DataFrame) -> DataFrame:
+    """The threshold baseline in the same form: the signal as score, scaled by its training range as probability."""
+    ranges = role(frame, "train").groupBy("horizon_days").agg(F.min(BASELINE_SIGNAL).alias("low"), F.max(BASELINE_SIGNAL).alias("high"))
+    held_out = frame.where(F.col("frame_role") != "train").join(ranges, "horizon_days")
+    probability = metrics.pseudo_probability(F.col(BASELINE_SIGNAL), F.col("low"), F.col("high"))
+    return held_out.select(*SCORED, probability.alias("probability"), F.col(BASELINE_SIGNAL).alias("score"), F.lit(BASELINE).alias("model"))
+
 
-    def classified(rows: DataFrame, prefix: str) -> DataFrame:
-        counts = metrics.threshold_metrics(metrics.confusion(rows, by))
-        ranks = metrics.ranking_metrics(metrics.score_table(rows, by, "probability"), by)
-        joined = counts.join(ranks.select(*by, "pr_auc", "roc_auc"), by)
-        return joined.select(*by, *[F.col(c).alias(f"{prefix}{c}") for c in joined.columns if c not in by])
+BY = ["model", "horizon_days"]
 
-    quality = metrics.calibration_assessment(test, by, "probability")
-    found = written(episodes.warning_lead_times(test, keys=[*by, "merchant_id"], horizon="horizon_days"), "leads")
-    lead = episodes.lead_time_summary(found, by).select(
-        *by, "median_warning_lead_time_days", "n_episodes_total", "n_early_warning"
+
+def decide(scored: DataFrame) -> DataFrame:
+    """Add the F1-maximising threshold of the validation rows and what it predicts."""
+    chosen = metrics.ranking_metrics(metrics.score_table(role(scored, "val"), BY, "score"), BY).select(
+        *BY, F.col("best_f1_threshold").alias("decision_threshold")
     )
-    out = chosen.join(classified(test, ""), by)
-    for part in (classified(stress, "stress_"), quality, lead):
-        out = out.join(part, by, "left")
+    return scored.join(chosen, BY).withColumn("predicted", F.col("score") >= F.col("decision_threshold"))
+
+
+def classification(decided: DataFrame, by: Sequence[str]) -> DataFrame:
+    counts = metrics.threshold_metrics(metrics.confusion(decided, by))
+    ranks = metrics.ranking_metrics(metrics.score_table(decided, by, "score"), by)
+    return counts.join(ranks.select(*by, "pr_auc", "roc_auc"), list(by))
+
+
+def compare(decided: DataFrame) -> DataFrame:
+    """A row per model and horizon: threshold, test and stress metrics, calibration, cost and lead time."""
+    by = [*BY, "decision_threshold"]
+    test, stress = role(decided, "normal_test"), role(decided, "stress_test")
+    prefixed = classification(stress, BY)
+    prefixed = prefixed.select(*BY, *[F.col(c).alias(f"stress_{c}") for c in prefixed.columns if c not in BY])
+    ratio = metrics.false_positive_cost(metrics.confusion(test, BY)).select(*BY, "false_positives_per_true_positive").distinct()
+    lead = episodes.lead_time_summary(lead_times(test), BY).select(*BY, "median_warning_lead_time_days", "n_episodes_total", "n_early_warning")
+    out = classification(test, by)
+    for part in (prefixed, metrics.calibration_assessment(test, BY, "probability"), ratio, lead):
+        out = out.join(part, BY, "left")
     return out
 
 
+def lead_times(test: DataFrame) -> DataFrame:
+    return written(episodes.warning_lead_times(test, keys=[*BY, "merchant_id"], horizon="horizon_days"), "leads")
+
+
 def calibrated_forest(frame: DataFrame, forest: dict) -> tuple[models.Artifact, DataFrame]:
     """Forest on train, sigmoid on half of validation, threshold on the other half."""
     columns = feature_columns()
