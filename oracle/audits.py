@@ -313,3 +313,25 @@ SQL["archetype_bias"] = with_(
     JOIN (SELECT horizon_days, max(score) / greatest(min(score), 1e-9) AS ratio FROM encoded GROUP BY 1) r ON a.horizon_days = r.horizon_days""",
     "encoded",
 )
+
+
+# Content digests of the given tables: column order as in the files, fractions to six digits.
+_INPUTS = {
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal* c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal*",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice* o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity* l_extendedprice* l_discount* l_tax* l_returnflag l_linestatus l_shipdate",
+}
+
+
+def _digest(table: str, columns: str) -> str:
+    texts = [f"round({c[:-1]} * 1000000)::BIGINT" if c.endswith("*") else c for c in columns.split()]
+    row = "md5(concat_ws('|', " + ", ".join(f"coalesce(({t})::VARCHAR, '~')" for t in texts) + "))"
+    parts = [f"sum(('0x' || substr(h, {at}, 8))::BIGINT)::BIGINT AS {name}" for at, name in ((1, "digest_high"), (9, "digest_low"))]
+    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, {', '.join(parts)} FROM (SELECT {row} AS h FROM {table})"
+
+
+SQL["table_fingerprints"] = (
+    "SELECT *, md5(concat_ws('|', n_rows, digest_high, digest_low)) AS digest FROM (" + " UNION ALL ".join(_digest(t, c) for t, c in _INPUTS.items()) + ")"
+)

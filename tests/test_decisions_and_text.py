@@ -148,10 +148,10 @@ def test_action_validation_and_log(spark, tmp_path):
         13: "simulation:out_of_range:refund_rate_28d",
     }
     path = str(tmp_path / "log")
-    for _ in range(2):
-        decisions.append_actions(decisions.action_log(checked), path)
+    for batch in ("monday", "monday", "tuesday"):
+        decisions.append_actions(decisions.action_log(checked), path, batch)
     log = decisions.read_actions(spark, path, "M1")
-    assert log.count() == 4 and {r["outcome_status"] for r in log.collect()} == {"not_observed"}
+    assert log.count() == 2 and {r["outcome_status"] for r in log.collect()} == {"not_observed"}
 
 
 def test_dates_resolve_or_report_the_valid_range(spark):
@@ -180,7 +180,7 @@ def test_quality_audits_find_planted_faults(spark):
     assert broken["negative_gmv"] == 1 and broken["chargeback_count_exceeds_transactions"] == 1 and broken["customer_split_inconsistent"] == 0
     assert quality.duplicate_count(df.union(df), ["merchant_id", "date"], "d").first()["n_duplicates"] == 3
     assert quality.schema_conformity({"daily_observations": df.drop("aov").withColumn("extra", F.lit(1))}, spark).count() == 2
-    a, b = (quality.table_fingerprint(x, "t").first() for x in (df, df.orderBy(F.desc("date")).repartition(3)))
+    a, b = (quality.merged_digests(quality.file_digests(x, "t")).first() for x in (df, df.orderBy(F.desc("date")).repartition(3)))
     assert a == b and quality.table_fingerprint(df.limit(2), "t").first() != a
 
 

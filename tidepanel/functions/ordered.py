@@ -41,20 +41,21 @@ def order_cell(value: Column, cuts: Column) -> Column:
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], stored: bool = False
 ) -> DataFrame:
     """Add ``<m>_before`` (total over strictly lower values) and ``<m>_total`` per key.
 
-    ``df`` must hold one row per (keys, order).
+    ``df`` must hold one row per (keys, order).  It is written first, so that whatever built it runs once,
+    unless ``stored`` says that it is read from a written table already.
     """
     keys = list(keys)
-    cuts = cell_cuts(df, keys, order)
+    df = df if stored else written(df, "counts")
+    # Approximate quantiles depend on the order in which parts are merged.  Both uses below must see
+    # the same cells, so the cuts, one row per key, are written too.
+    cuts = written(cell_cuts(df, keys, order), "cuts")
     # Without keys the one row of cuts is a scalar; with keys Spark decides how to join one row per key.
     given = df.join(cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
     celled = given.withColumn("_cell", order_cell(F.col(order), F.col("_cuts"))).drop("_cuts")
-    # Approximate quantiles depend on the order in which parts are merged.  Both uses below must see
-    # the same cells, so these are written once.
-    celled = written(celled, "cells")
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     below = by_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -92,11 +93,11 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def quantiles_from_counts(
-    counts: DataFrame, keys: Sequence[str], probabilities: dict[str, float]
+    counts: DataFrame, keys: Sequence[str], probabilities: dict[str, float], stored: bool = False
 ) -> DataFrame:
     """Linear-interpolation quantiles, one column per name, from (keys, value, n) rows."""
     keys = list(keys)
-    ranked = running_totals(counts, keys, "value", ["n"])
+    ranked = running_totals(counts, keys, "value", ["n"], stored)
     picks = []
     for name, p in probabilities.items():
         position = F.lit(float(p)) * (F.col("n_total") - 1).cast("double")

@@ -219,6 +219,28 @@ def drivers(attributed: DataFrame, columns: Sequence[str], top_k: int = TOP_K) -
     )
 
 
+def described(explained: DataFrame, columns: Sequence[str], manifest: Sequence[dict]) -> DataFrame:
+    """Give every listed driver the row's own feature value and what the manifest says of the feature.
+
+    ``explained`` still holds the feature columns; a feature that the manifest lacks has null metadata.
+    """
+    known = {row["name"]: row for row in manifest}
+    said = {name: [known.get(c, {}).get(name) for c in columns] for name in ("group", "definition", "window", "kind")}
+    place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    texts = {name: F.array(*[F.lit(v).cast("string") for v in vs]) for name, vs in said.items()}
+
+    def full(driver):
+        at = place[driver["feature"]]
+        return F.struct(
+            driver["feature"].alias("feature"), F.get(values, at).alias("value"), driver["phi"].alias("phi"), driver["direction"].alias("direction"),
+            *[F.get(t, at).alias(name) for name, t in texts.items()],
+        )
+
+    lists = ("all_contributors", "top_positive", "top_negative")
+    return explained.withColumns({name: F.transform(name, full) for name in lists})
+
+
 def contributions_long(attributed: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     return attributed.select(
         *keys, F.posexplode("contributions").alias("_i", "phi")

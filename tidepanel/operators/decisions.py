@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -713,11 +715,34 @@ def action_log(valid: DataFrame, impacts: DataFrame | None = None, request_id: s
     return records.join(impact, request_id, "left")
 
 
-def append_actions(records: DataFrame, path: str) -> None:
-    """Append to the log, partitioned by action date."""
-    records.withColumn("action_date", F.col("date")).write.mode("append").partitionBy("action_date").parquet(path)
+def append_actions(records: DataFrame, path: str, batch_id: str) -> int:
+    """Append a batch to the log below ``path`` and return how many records were new.
+
+    The log holds one folder per batch.  A batch is written beside its place and renamed into it, so readers
+    see all of it or nothing; a batch whose id is there already is left alone.  Of records that repeat
+    a request id, within the batch or against the log, the log keeps one.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id) or batch_id.startswith(("_", ".")):
+        raise ValueError(f"batch id {batch_id!r} is not a plain name")
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}")
+    if system.exists(place):
+        return 0
+    # Equal requests may differ in their time stamps; the smallest record stays, whatever the order of rows.
+    fresh = records.dropDuplicates().groupBy("request_id").agg(F.min_by(F.struct(*records.columns), F.to_json(F.struct(*records.columns))).alias("r")).select("r.*")
+    if system.exists(folder) and any(s.getPath().getName().startswith("batch=") for s in system.listStatus(folder)):
+        fresh = fresh.join(read_actions(spark, path).select("request_id"), "request_id", "left_anti").select(*records.columns)
+    draft = f"{path}/_draft-{uuid.uuid4().hex}"
+    fresh.write.parquet(draft)
+    system.mkdirs(folder)
+    if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), place):
+        raise OSError(f"could not move the batch into {place}")
+    return spark.read.parquet(f"{path}/batch={batch_id}").count()
 
 
 def read_actions(spark: SparkSession, path: str, merchant_id: str | None = None) -> DataFrame:
+    """The log with each record's batch; of one entity if given, newest action date first."""
     log = spark.read.parquet(path)
-    return log if merchant_id is None else log.where(F.col("merchant_id") == merchant_id)
+    return log if merchant_id is None else log.where(F.col("merchant_id") == merchant_id).orderBy(F.desc("date"), "request_id")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.functions.numeric import count_where, is_close, no_nan, ratio_or_null
-from tidepanel.functions.ordered import exact_quantiles
+from tidepanel.functions.ordered import exact_quantiles, quantiles_from_counts
 from tidepanel.sources.schemas import PAYMENT_METHODS, TABLES
+from tidepanel.sources.storage import written
 
 # The quantiles of a robust summary.
 SUMMARY_QUANTILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
@@ -167,21 +168,28 @@ def grouped_medians(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
 def robust_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quantiles; nulls and text dropped.
 
-    A group without any number keeps its row, with count 0.
+    The input is read once: distinct values with their counts are written, and everything else comes from
+    them.  A group without any number keeps its row, with count 0.
     """
     keys = list(keys)
     kind = df.schema[value].dataType
     number = F.col(value).try_cast("double") if isinstance(kind, T.StringType) else F.col(value).cast("double")
     numbers = df.select(*keys, F.when(~F.isnan(number), number).alias("value"))
-    moments = numbers.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+    counts = written(numbers.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")), "value_counts")
+    given = counts.where(F.col("value").isNotNull())
+    n = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
+    middle = counts.groupBy(*keys).agg(
+        F.sum(n).alias("count"),
+        F.when(F.sum(n) > 0, F.sum(F.col("value") * F.col("n")) / F.sum(n)).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quantiles = exact_quantiles(numbers, keys, "value", SUMMARY_QUANTILES)
-    return moments.join(quantiles, keys, "left").select(
+    off = F.col("value") - F.col("mean")
+    spread = given.join(middle.select(*keys, "mean"), keys).groupBy(*keys).agg(
+        F.when(F.sum("n") > 1, F.sqrt(F.sum(off * off * F.col("n")) / (F.sum("n") - 1))).alias("std")
+    )
+    quantiles = quantiles_from_counts(given, keys, SUMMARY_QUANTILES, stored=True)
+    return middle.join(spread, keys, "left").join(quantiles, keys, "left").select(
         *keys, "count", "mean", "std", "min", *SUMMARY_QUANTILES, "max"
     )
 
@@ -254,11 +262,47 @@ def assert_feature_columns(columns: Sequence[str], expected: Sequence[str] | Non
         raise ValueError(f"feature columns differ from the model's: {list(columns)} != {list(expected)}")
 
 
-def table_fingerprint(df: DataFrame, table: str) -> DataFrame:
-    """Order-insensitive content hash of a table."""
-    row_hash = F.xxhash64(*df.columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.hex(F.bit_xor(row_hash)).alias("xor_hash"),
-        F.sum(row_hash.cast("decimal(20,0)")).cast("string").alias("sum_hash"),
-    ).select(F.lit(table).alias("table_name"), "n_rows", "xor_hash", "sum_hash")
+def _as_text(field: T.StructField) -> Column:
+    """A cell as text that any engine writes alike; fractions to six digits; a null is marked."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        c = F.round(c.cast("double") * 1_000_000).cast("long")
+    return F.coalesce(c.cast("string"), F.lit("~"))
+
+
+def file_digests(df: DataFrame, table: str) -> DataFrame:
+    """(table_name, file, n_rows, digest_high, digest_low): order-insensitive sums of the rows' MD5 digests per source file.
+
+    Sums of disjoint row sets add up, so a table's fingerprint follows from its files' and a changed or
+    added file costs only its own reading.
+    """
+    row = F.md5(F.concat_ws("|", *[_as_text(f) for f in df.schema]))
+    part = lambda at: F.conv(F.substring(row, at, 8), 16, 10).cast("long")
+    return df.groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(part(1)).alias("digest_high"), F.sum(part(9)).alias("digest_low")
+    ).select(F.lit(table).alias("table_name"), "file", "n_rows", "digest_high", "digest_low")
+
+
+def merged_digests(files: DataFrame) -> DataFrame:
+    """(table_name, n_rows, digest_high, digest_low, digest) per table from its files' digests."""
+    sums = files.groupBy("table_name").agg(*[F.sum(c).cast("long").alias(c) for c in ("n_rows", "digest_high", "digest_low")])
+    return sums.withColumn("digest", F.md5(F.concat_ws("|", "n_rows", "digest_high", "digest_low")))
+
+
+def updated_digests(known: DataFrame, listing: DataFrame, read: Callable[[list[str]], DataFrame], table: str) -> DataFrame:
+    """File digests with the listing's (path, length, modificationTime), reading only files that ``known`` lacks in that state.
+
+    ``known`` is an earlier result; files that are gone lose their row.  The listing, a row per file, decides
+    on the driver which paths are read.
+    """
+    state = ["path", "length", "modificationTime"]
+    kept = known.join(listing, state, "left_semi")
+    fresh = listing.join(known, state, "left_anti")
+    paths = [r["path"] for r in fresh.select("path").collect()]
+    if not paths:
+        return kept
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    made = file_digests(read(paths), table).withColumn("_file", bare(F.col("file")))
+    joined = fresh.withColumn("_file", bare(F.col("path"))).join(made, "_file", "left").drop("_file")
+    filled = joined.withColumns({"table_name": F.lit(table), **{c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "digest_high", "digest_low")}})
+    return kept.unionByName(filled.select(*kept.columns))

@@ -328,7 +328,7 @@ def _grow_broadcast(rows: DataFrame, plan: Plan, width: int, weights: dict[int,
                     margin += node_values(plan, trees, t)[trees.node_of(t, bins)]
                 yield pd.DataFrame([(model, t, *trees.row(t)) for t in range(plan.trees)], columns=NAMES)
 
-    slots = min(len(jobs), max(1, 4 * spark.sparkContext.defaultParallelism))
+    slots = max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism))
     dealt = spark.createDataFrame(jobs, "model long, tree int").repartition(slots, "model", "tree")
     out = {m: Trees.empty(plan.trees, plan.nodes) for m in held}
     for r in dealt.mapInPandas(run, TREE_SCHEMA).collect():

@@ -8,7 +8,7 @@ from tidepanel.functions import text
 from tidepanel.operators import decisions, lookups
 from tidepanel.operators.features import feature_columns, manifest_df
 from tidepanel.plans.registry import as_double, query, rounded
-from tidepanel.sources.panels import read
+from tidepanel.sources.panels import SIGNALS, read
 from tidepanel.sources.storage import written
 
 # A transparent scorer over observed features, so decision tables can be checked by SQL.
@@ -167,13 +167,13 @@ def _(d):
 
 @query("control_listing")
 def _(d):
-    d.store("features")
+    d.store_features(*decisions.CONTROLS)
     return rounded(decisions.list_controls(d.features))
 
 
 @query("scenario_validation")
 def _(d):
-    d.store("features")
+    d.store_features(*decisions.CONTROLS)
     return rounded(decisions.validate_requests(request_log(d), d.features, d.dimension).drop("kind"))
 
 
@@ -188,7 +188,7 @@ def _valid_requests(d):
 
 @query("scenario_scores")
 def _(d):
-    d.store("daily", "features")
+    d.store("daily").store_features(*decisions.CONTROLS, *SCORE_WEIGHTS)
     return rounded(
         decisions.simulate(
             _valid_requests(d), d.features, decisions.exposure_estimate(d.daily, HORIZON), list(SCORE_WEIGHTS), linear_scorer, DECISION_THRESHOLD
@@ -229,7 +229,7 @@ def _incidents(d):
 
 @query("incidents")
 def _(d):
-    d.store("daily", "features", "events")
+    d.store("daily").store_features(*SIGNALS, *SCORE_WEIGHTS).store("events")
     return rounded(decisions.summarize_incidents(_incidents(d)))
 
 
@@ -255,7 +255,7 @@ def action_requests(d):
 
 @query("action_validation")
 def _(d):
-    d.store("daily", "features")
+    d.store("daily").store_features(*decisions.CONTROLS)
     return decisions.validate_actions(action_requests(d), d.dimension, d.daily, d.features).select(
         "request_id", "merchant_id", "intervention_id", "action_status", "control_id", "error"
     )
@@ -263,7 +263,7 @@ def _(d):
 
 @query("action_log")
 def _(d):
-    d.store("daily", "features")
+    d.store("daily").store_features(*decisions.CONTROLS, *SCORE_WEIGHTS)
     valid = decisions.validate_actions(action_requests(d), d.dimension, d.daily, d.features).where(F.col("error").isNull())
     impacts = decisions.simulate(
         _valid_requests(d), d.features, decisions.exposure_estimate(d.daily, HORIZON), list(SCORE_WEIGHTS), linear_scorer, DECISION_THRESHOLD

@@ -63,6 +63,18 @@ def _(d):
     )
 
 
+@query("row_set_overlaps")
+def _(d):
+    """Rows that validation halves and roles share at 30 days: none, but for the halves with the validation rows."""
+    keys = ["merchant_id", "day_index"]
+    rows = written(roles_frame(d, []).where(F.col("horizon_days") == 30).select(*keys, "frame_role", "label_elevated_chargeback"), "roles")
+    val = rows.where(F.col("frame_role") == "val")
+    halves = written(splits.calibration_halves(val, "label_elevated_chargeback", keys), "halves")
+    sets = {h: halves.where(F.col("half") == h) for h in ("calibration", "threshold")}
+    sets |= {r: rows.where(F.col("frame_role") == r) for r in ("train", "val", "normal_test", "stress_test")}
+    return frames.row_overlaps(sets, keys)
+
+
 @query("baseline_fit")
 def _(d):
     train = roles_frame(d, [BASELINE_SIGNAL]).where(F.col("frame_role") == "train")

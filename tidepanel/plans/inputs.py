@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepanel.operators.features import build_features
 from tidepanel.operators.labels import build_labels
 from tidepanel.sources import panels
+from tidepanel.sources.schemas import PANEL_KEYS
 from tidepanel.sources.storage import written
 
 
@@ -23,6 +24,12 @@ class Dataset:
             self._made[name] = written(getattr(self, name), name)
         return self
 
+    def store_features(self, *columns: str) -> "Dataset":
+        """Write only the keys and the named feature columns; queries that follow see no others."""
+        keys = [c for c in PANEL_KEYS if c not in columns]
+        self._made["features"] = written(self.features.select(*keys, *dict.fromkeys(columns)), "features")
+        return self
+
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
             self._made[name] = make()

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.operators import attribution, decisions, lookups, metrics, models, quality
+from tidepanel.operators import attribution, decisions, models, quality
 from tidepanel.operators.features import feature_columns, manifest, manifest_df
 from tidepanel.operators.metrics import LABEL
+from tidepanel.plans.audit_queries import input_digests
 from tidepanel.plans.decision_queries import HORIZON
 from tidepanel.plans.registry import query, rounded
-from tidepanel.plans.training import ID_COLUMNS, baseline_scores, calibrated_forest, compare, decide, fit_all, model_frame, role, score_all
-from tidepanel.sources.storage import written
+from tidepanel.plans.baseline_run import BaselineRun
+from tidepanel.plans.staged import StagedRun
+from tidepanel.plans.training import calibrated_forest, calibration_report, leakage_checks, model_frame, role
 
 KEYS = ["merchant_id", "as_of_date", "day_index"]
 
@@ -21,119 +20,86 @@ KEYS = ["merchant_id", "as_of_date", "day_index"]
 @query("model_comparison")
 def _(d):
     """The threshold baseline and three models at every horizon."""
-    frame = model_frame(d)
-    scored = score_all(frame, fit_all(frame, models.FOREST, models.BOOSTING)).unionByName(baseline_scores(frame))
-    return rounded(compare(written(decide(scored), "decided")))
+    return rounded(BaselineRun(d).comparison)
 
 
-@query("shortcut_audit")
+@query("baseline_run")
 def _(d):
-    """Importance concentration, single-feature AUCs and column rules in one verdict per model and horizon."""
-    frame = model_frame(d)
-    train = role(frame, "train")
-    rows = models.training_rows(train, feature_columns(), "horizon_days")
-    fitted = {"random_forest": models.fit_forests(rows, **models.FOREST), "gradient_boosting": models.fit_boostings(rows, **models.BOOSTING)}
-    return rounded(shortcut_verdicts(d.spark, train, fitted))
-
-
-def shortcut_verdicts(spark, train, fitted):
-    concentration = metrics.importance_concentration(ranked_importances(spark, fitted), ["horizon_days", "model"])
-    long = quality.long_form(train, ["horizon_days", LABEL], feature_columns(), "feature")
-    suspicious = metrics.single_feature_audit(long, ["horizon_days"]).groupBy("horizon_days").agg(F.max("suspicious").alias("any_suspicious_feature"))
-    names = spark.createDataFrame([(c,) for c in feature_columns()], "column_name string")
-    violation = quality.column_audit(names).agg(F.max("violation")).scalar()
-    return concentration.join(suspicious, "horizon_days").withColumn("any_forbidden_column", violation).withColumn(
-        "overall_pass", ~F.col("any_suspicious_feature") & ~F.col("any_forbidden_column") & ~F.col("dominant")
-    )
+    """Every report of the full run in long form."""
+    return rounded(BaselineRun(d).report())
+
 
+@query("model_error_breakdown")
+def _(d):
+    return BaselineRun(d).error_breakdown
 
-def ranked_importances(spark, fitted):
-    """(model, feature, importance, rank, horizon_days) of the tree models."""
-    parts = [
-        models.importances(m, feature_columns(), name, spark).withColumn("horizon_days", F.lit(h))
-        for name, by_horizon in fitted.items()
-        for h, m in by_horizon.items()
-        if hasattr(m, "importances")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+@query("model_error_rates")
+def _(d):
+    return rounded(BaselineRun(d).error_rates)
+
+
+@query("shortcut_audit")
+def _(d):
+    """Importance concentration, single-feature AUCs and column rules in one verdict per model and horizon."""
+    return rounded(BaselineRun(d).shortcuts)
 
 
 @query("forest_importances")
 def _(d):
-    train = role(model_frame(d), "train")
-    rows = models.training_rows(train, feature_columns(), "horizon_days")
-    return ranked_importances(d.spark, {"random_forest": models.fit_forests(rows, **models.FOREST)})
+    return BaselineRun(d).importances.where(F.col("model") == "random_forest")
 
 
 @query("forecast_comparison")
 def _(d):
     """Naive persistence against a forest on log1p of the amount, at every horizon."""
-    return rounded(forecasts(model_frame(d), models.FOREST), 4)
+    return rounded(BaselineRun(d).forecasts, 4)
 
 
-def forecasts(frame, forest):
-    fitted = models.fit_regression_forests(role(frame, "train"), feature_columns(), "future_chargeback_amount", "horizon_days", **forest)
-    test = role(frame, "normal_test")
-    parts = [models.predict_amount(m, test.where(F.col("horizon_days") == h)) for h, m in fitted.items()]
-    test = reduce(DataFrame.unionByName, parts).withColumn(
-        "naive", F.col("baseline_daily_chargeback_amount_trailing") * F.col("horizon_days")
-    )
-    both = test.select(
-        "horizon_days",
-        "future_chargeback_amount",
-        F.explode(
-            F.array(
-                F.struct(F.lit("naive").alias("model"), F.col("naive").alias("value")),
-                F.struct(F.lit("random_forest").alias("model"), F.col("forecast").alias("value")),
-            )
-        ).alias("m"),
-    ).select("horizon_days", "future_chargeback_amount", "m.*")
-    return metrics.regression_metrics(both, ["model", "horizon_days"], "future_chargeback_amount", "value")
+def calibrated(d):
+    """The frame, the calibrated forest and the validation halves at the published horizon, each made once per input state."""
+    run = StagedRun(d.spark, d.sf_dir, f"{d.level}|{HORIZON}|{models.FOREST}")
+    frame = run.stage("frame", lambda: model_frame(d, HORIZON))
+
+    def save(path):
+        artifact, halves = calibrated_forest(frame, models.FOREST)
+        artifact.fingerprints = {r["table_name"]: r["digest"] for r in quality.merged_digests(input_digests(d)).collect()}
+        models.save_artifact(artifact, f"{path}/artifact", d.spark)
+        halves.write.parquet(f"{path}/halves")
+
+    place = run.place("calibrated", save)
+    artifact = models.load_artifact(f"{place}/artifact", d.spark, HORIZON, len(feature_columns()))
+    return run, frame, artifact, d.spark.read.parquet(f"{place}/halves")
 
 
 @query("calibration_comparison")
 def _(d):
-    """Forest before and after sigmoid scaling, on test and stress rows."""
-    frame = model_frame(d, HORIZON)
-    artifact, halves = calibrated_forest(frame, models.FOREST)
-    raw_best = metrics.ranking_metrics(
-        metrics.score_table(halves.where(F.col("half") == "threshold"), [], "probability_raw"), []
-    ).first()["best_f1_threshold"]
-    held = artifact.score(frame.where(F.col("frame_role").isin("normal_test", "stress_test")))
-    variants = written(
-        held.select(
-            *ID_COLUMNS,
-            F.explode(
-                F.array(
-                    F.struct(F.lit("uncalibrated").alias("variant"), F.col("probability_raw").alias("p"), F.lit(raw_best).alias("t")),
-                    F.struct(F.lit("calibrated").alias("variant"), F.col("probability").alias("p"), F.lit(artifact.decision_threshold).alias("t")),
-                )
-            ).alias("v"),
-        ).select(*ID_COLUMNS, "v.variant", F.col("v.p").alias("probability"), F.col("v.t").alias("threshold"), (F.col("v.p") >= F.col("v.t")).alias("predicted")),
-        "variants",
-    )
-    by = ["variant", "frame_role"]
-    out = metrics.threshold_metrics(metrics.confusion(variants, by))
-    out = out.join(metrics.ranking_metrics(metrics.score_table(variants, by, "probability"), by).select(*by, "pr_auc", "roc_auc"), by)
-    return rounded(out.join(metrics.calibration_assessment(variants, by, "probability"), by))
+    """Forest before and after sigmoid scaling: metrics, cost and lead time on test and stress rows."""
+    _, frame, artifact, halves = calibrated(d)
+    return rounded(calibration_report(frame, artifact, halves))
+
+
+@query("calibration_leakage_checks")
+def _(d):
+    """What would betray leakage into the calibration; every check must hold."""
+    _, frame, artifact, halves = calibrated(d)
+    return leakage_checks(frame, artifact, halves)
 
 
 @query("model_metadata")
 def _(d):
-    frame = model_frame(d, HORIZON)
-    artifact, _ = calibrated_forest(frame, models.FOREST)
-    prints = quality.table_fingerprint(frame, "model_frame").first()
-    artifact.fingerprints = {"model_frame": prints["xor_hash"]}
-    return artifact.metadata(d.spark)
+    """The stored artifact's description with one content digest per input table."""
+    return calibrated(d)[2].metadata(d.spark)
 
 
 def _explained(d, rows: str = "normal_test"):
-    frame = model_frame(d, HORIZON)
-    artifact, _ = calibrated_forest(frame, models.FOREST)
-    scored = artifact.score(role(frame, rows))
-    explainer = attribution.build_explainer(artifact.model, artifact.feature_columns, d.spark)
-    attributed = attribution.attribute(scored, explainer, [*KEYS, LABEL, "probability_raw", "probability"])
-    return artifact, written(attributed, "attributed")
+    run, frame, artifact, _ = calibrated(d)
+
+    def make():
+        explainer = attribution.build_explainer(artifact.model, artifact.feature_columns, d.spark)
+        return attribution.attribute(artifact.score(role(frame, rows)), explainer, [*KEYS, LABEL, "probability_raw", "probability", *artifact.feature_columns])
+
+    return artifact, run.stage(f"attributed_{rows}", make)
 
 
 @query("attribution_faithfulness")
@@ -158,7 +124,7 @@ def _(d):
 def _(d):
     artifact, attributed = _explained(d)
     attribution.assert_faithful(attributed)
-    explained = attribution.drivers(attributed, artifact.feature_columns)
+    explained = attribution.described(attribution.drivers(attributed, artifact.feature_columns), artifact.feature_columns, manifest())
     return explained.select(
         *KEYS,
         "probability",
@@ -166,8 +132,8 @@ def _(d):
         decisions.risk_state(F.col("probability"), artifact.decision_threshold).alias("risk_state"),
         "base_value",
         "reconstructed",
-        F.transform("top_positive", lambda s: s["feature"]).alias("top_positive"),
-        F.transform("top_negative", lambda s: s["feature"]).alias("top_negative"),
+        "top_positive",
+        "top_negative",
     )
 
 

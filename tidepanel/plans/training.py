@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.operators import episodes, metrics, models, splits
+from tidepanel.operators import episodes, metrics, models, quality, splits
 from tidepanel.operators.features import feature_columns
+from tidepanel.operators.frames import row_overlaps
 from tidepanel.operators.labels import HORIZONS
 from tidepanel.operators.metrics import LABEL
 from tidepanel.plans.evaluation import BASELINE_SIGNAL, roles_frame
@@ -22,6 +23,7 @@ VOLUME = "transaction_count_level_28d"
 #: What travels with a score: the row's identity and the volume that errors are broken down by.
 SCORED = [*ID_COLUMNS, VOLUME]
 BASELINE = "historical_threshold_baseline"
+BY = ["model", "horizon_days"]
 
 
 def model_frame(d: Dataset, horizons: int | Sequence[int] = HORIZONS) -> DataFrame:
@@ -31,6 +33,42 @@ def model_frame(d: Dataset, horizons: int | Sequence[int] = HORIZONS) -> DataFra
     return written(frame.select(*ID_COLUMNS, *feature_columns()), "frames")
 
 
+def forecasts(frame: DataFrame, forest: dict) -> DataFrame:
+    """Naive persistence against a forest on log1p of the amount, a row per model and horizon."""
+    fitted = models.fit_regression_forests(role(frame, "train"), feature_columns(), "future_chargeback_amount", "horizon_days", **forest)
+    test = role(frame, "normal_test")
+    parts = [models.predict_amount(m, test.where(F.col("horizon_days") == h)) for h, m in fitted.items()]
+    naive = F.col("baseline_daily_chargeback_amount_trailing") * F.col("horizon_days")
+    values = reduce(DataFrame.unionByName, parts).select(
+        "horizon_days", "future_chargeback_amount", naive.alias("naive"), F.col("forecast").alias("random_forest")
+    )
+    both = values.unpivot(["horizon_days", "future_chargeback_amount"], ["naive", "random_forest"], "model", "value")
+    return metrics.regression_metrics(both, BY, "future_chargeback_amount", "value")
+
+
+def ranked_importances(spark: SparkSession, fitted: dict[str, dict[int, models.Model]]) -> DataFrame:
+    """(model, feature, importance, rank, horizon_days) of the tree models."""
+    parts = [
+        models.importances(m, feature_columns(), name, spark).withColumn("horizon_days", F.lit(h))
+        for name, by_horizon in fitted.items()
+        for h, m in by_horizon.items()
+        if hasattr(m, "importances")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shortcut_verdicts(spark: SparkSession, train: DataFrame, importances: DataFrame) -> DataFrame:
+    """Importance concentration, single-feature AUCs and column rules in one verdict per model and horizon."""
+    concentration = metrics.importance_concentration(importances, ["horizon_days", "model"])
+    long = quality.long_form(train, ["horizon_days", LABEL], feature_columns(), "feature")
+    suspicious = metrics.single_feature_audit(long, ["horizon_days"]).groupBy("horizon_days").agg(F.max("suspicious").alias("any_suspicious_feature"))
+    names = spark.createDataFrame([(c,) for c in feature_columns()], "column_name string")
+    violation = quality.column_audit(names).agg(F.max("violation")).scalar()
+    return concentration.join(suspicious, "horizon_days").withColumn("any_forbidden_column", violation).withColumn(
+        "overall_pass", ~F.col("any_suspicious_feature") & ~F.col("any_forbidden_column") & ~F.col("dominant")
+    )
+
+
 def role(frame: DataFrame, name: str) -> DataFrame:
     return frame.where(F.col("frame_role") == name)
 
@@ -77,9 +115,6 @@ def baseline_scores(frame: DataFrame) -> DataFrame:
     return held_out.select(*SCORED, probability.alias("probability"), F.col(BASELINE_SIGNAL).alias("score"), F.lit(BASELINE).alias("model"))
 
 
-BY = ["model", "horizon_days"]
-
-
 def decide(scored: DataFrame) -> DataFrame:
     """Add the F1-maximising threshold of the validation rows and what it predicts."""
     chosen = metrics.ranking_metrics(metrics.score_table(role(scored, "val"), BY, "score"), BY).select(
@@ -124,3 +159,56 @@ def calibrated_forest(frame: DataFrame, forest: dict) -> tuple[models.Artifact,
     horizon = frame.select("horizon_days").first()["horizon_days"]
     artifact = models.Artifact(model, platt, int(horizon), float(best["best_f1_threshold"]), columns)
     return artifact, halves
+
+
+VARIANT = ["variant", "frame_role"]
+
+
+def calibration_report(frame: DataFrame, artifact: models.Artifact, halves: DataFrame) -> DataFrame:
+    """Uncalibrated and calibrated forest on test and stress rows, each with its own threshold from the held half.
+
+    Lead time is that of test rows; stress rows have none.
+    """
+    held = halves.where(F.col("half") == "threshold")
+    raw_best = metrics.ranking_metrics(metrics.score_table(held, [], "probability_raw"), []).first()["best_f1_threshold"]
+    rows = artifact.score(frame.where(F.col("frame_role").isin("normal_test", "stress_test")))
+    kinds = {"uncalibrated": ("probability_raw", raw_best), "calibrated": ("probability", artifact.decision_threshold)}
+    options = [F.struct(F.lit(v).alias("variant"), F.col(p).alias("p"), F.lit(t).alias("t")) for v, (p, t) in kinds.items()]
+    each = rows.select(*ID_COLUMNS, F.explode(F.array(*options)).alias("v"))
+    variants = written(
+        each.select(*ID_COLUMNS, "v.variant", F.col("v.p").alias("probability"), F.col("v.t").alias("threshold"), (F.col("v.p") >= F.col("v.t")).alias("predicted")),
+        "variants",
+    )
+    ranks = metrics.ranking_metrics(metrics.score_table(variants, VARIANT, "probability"), VARIANT).select(*VARIANT, "pr_auc", "roc_auc")
+    counts = metrics.confusion(variants, [*VARIANT, "threshold"])
+    ratio = metrics.false_positive_cost(counts).select(*VARIANT, "false_positives_per_true_positive").distinct()
+    found = episodes.warning_lead_times(role(variants, "normal_test"), keys=["variant", "horizon_days", "merchant_id"], horizon="horizon_days")
+    lead = episodes.lead_time_summary(written(found, "leads"), ["variant"]).select(
+        "variant", F.lit("normal_test").alias("frame_role"), "median_warning_lead_time_days", "n_episodes_total", "n_early_warning"
+    )
+    out = metrics.threshold_metrics(counts)
+    for part in (ranks, metrics.calibration_assessment(variants, VARIANT, "probability"), ratio, lead):
+        out = out.join(part, VARIANT, "left")
+    return out
+
+
+def leakage_checks(frame: DataFrame, artifact: models.Artifact, halves: DataFrame) -> DataFrame:
+    """(check, holds): halves are disjoint, were drawn from validation rows alone, no test row was fitted on, and
+    fitting the forest again on the same rows gives the same importances."""
+    keys = ["merchant_id", "day_index"]
+    sets = {h: halves.where(F.col("half") == h).select(*keys) for h in ("calibration", "threshold")}
+    sets |= {r: role(frame, r).select(*keys) for r in ("train", "val", "normal_test", "stress_test")}
+    shared = {(r["left_set"], r["right_set"]): r["n_shared"] for r in row_overlaps(sets, keys).collect()}
+    rows = {h: df.count() for h, df in sets.items()}
+    fitted, tested = ("train", "calibration", "threshold"), ("normal_test", "stress_test")
+    plan = artifact.model.plan
+    again = models.fit_forest(role(frame, "train"), artifact.feature_columns, numTrees=plan.trees, maxDepth=plan.depth, maxBins=plan.bins, minInstancesPerNode=plan.least_rows)
+    # Cut points are approximate quantiles, so a split may move to a neighbouring value when rows arrive in another order.
+    steady = bool(abs(again.importances() - artifact.model.importances()).max() <= 0.02)
+    checks = [
+        ("calibration_and_threshold_rows_disjoint", shared["calibration", "threshold"] == 0),
+        ("calibration_rows_are_validation_rows", shared["calibration", "val"] == rows["calibration"] and shared["threshold", "val"] == rows["threshold"]),
+        ("no_test_row_was_fitted_on", sum(shared.get((f, t), 0) + shared.get((t, f), 0) for f in fitted for t in tested) == 0),
+        ("refit_gives_the_same_importances", steady),
+    ]
+    return frame.sparkSession.createDataFrame(checks, "check string, holds boolean")

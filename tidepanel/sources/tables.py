@@ -27,10 +27,6 @@ def read_table(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
     )
 
 
-def load_dataset(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
-    return {table: read_table(spark, data_dir, table) for table in LOCATIONS}
-
-
 def load_inputs(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
     """(daily, merchants) with merchants cut to id and signup date, so no ground truth can flow on."""
     return (
@@ -39,14 +35,6 @@ def load_inputs(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFram
     )
 
 
-def load_model_tables(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
-    return {
-        "features": spark.read.parquet(f"{data_dir}/processed/features"),
-        "labels": read_table(spark, data_dir, "labels"),
-        "merchants": read_table(spark, data_dir, "merchants").select("merchant_id", "archetype", "business_tier"),
-    }
-
-
 def write_features(features: DataFrame, data_dir: str, fmt: str = "parquet") -> None:
     """The feature matrix plus its manifest with row count and group sizes."""
     spark = features.sparkSession
