@@ -8,7 +8,8 @@ from tidepanel.operators import attribution, decisions, models, quality
 from tidepanel.operators.features import feature_columns, manifest, manifest_df
 from tidepanel.operators.metrics import LABEL
 from tidepanel.plans.audit_queries import input_digests
-from tidepanel.plans.decision_queries import HORIZON
+from tidepanel.plans.context import context_documents
+from tidepanel.plans.decision_queries import HORIZON, request_log
 from tidepanel.plans.registry import query, rounded
 from tidepanel.plans.baseline_run import BaselineRun
 from tidepanel.plans.staged import StagedRun
@@ -153,11 +154,56 @@ def _(d):
     return rounded(decisions.recommendations(scope, elevating))
 
 
+def _scored_days(d, run, artifact):
+    """Every entity-day with raw and calibrated probability, scored once per input state."""
+    return run.stage("scored_days", lambda: artifact.score(d.features).select("merchant_id", "date", "day_index", "probability_raw", "probability"))
+
+
+@query("risk_assessment_with_model")
+def _(d):
+    """Risk of every entity-day from the trained artifact: raw and calibrated probability, exposure and stress."""
+    d.store("daily")
+    run, _, artifact, _ = calibrated(d)
+    scored = _scored_days(d, run, artifact).join(decisions.exposure_estimate(d.daily, artifact.horizon_days).drop("day_index"), ["merchant_id", "date"])
+    return rounded(
+        scored.select(
+            "merchant_id", "date", "day_index", "probability_raw", "probability",
+            decisions.risk_state(F.col("probability"), artifact.decision_threshold).alias("risk_state"),
+            "exposure",
+            decisions.liquidity_stress(F.col("exposure"), F.col("available_liquidity")).alias("liquidity_stress"),
+        )
+    )
+
+
+def _simulated(d, artifact):
+    requests = decisions.validate_requests(request_log(d), d.features, d.dimension).where(F.col("error").isNull())
+    exposure = decisions.exposure_estimate(d.daily, artifact.horizon_days)
+    return decisions.simulate(requests, d.features, exposure, artifact.feature_columns, artifact.score, artifact.decision_threshold)
+
+
+def _model_incidents(d, run, artifact):
+    exposure = decisions.exposure_estimate(d.daily, artifact.horizon_days)
+    return decisions.incidents(d.events, d.daily, d.dimension, _scored_days(d, run, artifact), artifact.decision_threshold, exposure, d.spark)
+
+
+@query("scenario_scores_with_model")
+def _(d):
+    """Current and changed rows of every valid request, scored in one pass by the trained artifact."""
+    d.store("daily", "features")
+    return rounded(_simulated(d, calibrated(d)[2]))
+
+
+@query("incidents_with_model")
+def _(d):
+    d.store("daily", "features", "events")
+    run, _, artifact, _ = calibrated(d)
+    return rounded(decisions.summarize_incidents(_model_incidents(d, run, artifact)))
+
+
 @query("context_export")
 def _(d):
-    """One nested document per explained entity-day: risk, exposure, confidence, drivers, actions."""
+    """One nested document per explained entity-day: risk, exposure, confidence, drivers, actions, simulation, incident."""
     artifact, attributed = _explained(d)
-    d.store("features")
-    from tidepanel.plans.context import context_documents
-
-    return context_documents(d, artifact, attributed)
+    run = calibrated(d)[0]
+    d.store("daily", "features", "events")
+    return context_documents(d, artifact, attributed, _simulated(d, artifact), _model_incidents(d, run, artifact))
