@@ -5,7 +5,7 @@ from tidepanel.plans import baseline_run, model_queries, training
 from tidepanel.plans.inputs import Dataset
 from tidepanel.plans.registry import REGISTRY
 
-RUN = ["model_comparison", "baseline_run", "model_error_breakdown", "model_error_rates", "shortcut_audit", "forest_importances", "forecast_comparison"]
+RUN = ["model_comparison", "baseline_run", "baseline_run_threshold_rows", "baseline_run_threshold_errors", "model_error_breakdown", "model_error_rates", "shortcut_audit", "forest_importances", "forecast_comparison"]
 CALIBRATED = [
     "calibration_comparison", "calibration_leakage_checks", "model_metadata", "attribution_faithfulness", "global_attribution", "local_explanations",
     "representative_rows", "recommendations_with_model", "risk_assessment_with_model", "scenario_scores_with_model", "incidents_with_model", "context_export",

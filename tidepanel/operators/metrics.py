@@ -302,7 +302,8 @@ def single_feature_audit(long: DataFrame, keys: Sequence[str], label: str = LABE
 
     keys = list(keys)
     auc = roc_auc(long, [*keys, "feature"], "value", label)
-    strength = F.abs(F.col("roc_auc") - 0.5)
+    # Features whose AUCs agree to six digits rank by name, so that rank does not hang on the last bits.
+    strength = F.round(F.abs(F.col("roc_auc") - 0.5), 6)
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(
         strength.desc_nulls_last(), "feature"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.functions.numeric import fixed
 from tidepanel.operators import episodes, frames, intervals, metrics, quality, splits
 from tidepanel.operators.features import feature_columns
 from tidepanel.plans.evaluation import BASELINE_SIGNAL, baseline_predictions, roles_frame
@@ -163,18 +164,12 @@ def _(d):
     return rounded(metrics.regression_metrics(frame, KEYS, "future_chargeback_amount", "naive_forecast"), 4)
 
 
-# Ranked reports hang on the order of nearly equal values, so the audited features are the
-# ones whose values are exact in any engine.
-RATE_FEATURES = [
-    c for c in feature_columns() if c.endswith(("_7d", "_28d", "_60d")) and c.startswith(("refund_rate", "chargeback_rate", "new_customer_rate"))
-] + ["refund_count_28d", "chargeback_count_28d", "days_since_last_chargeback", "customer_count_28d", "gmv_level_28d", "transaction_count_level_28d"]
-
-
 @query("single_feature_auc")
 def _(d):
-    train = roles_frame(d, RATE_FEATURES).where((F.col("frame_role") == "train") & (F.col("horizon_days") == 30))
-    long = quality.long_form(train, ["label_elevated_chargeback"], RATE_FEATURES, "feature")
-    return rounded(metrics.single_feature_audit(long, []))
+    """Every feature at every horizon, on values to six digits: a tie must not hang on a value's last bits."""
+    train = roles_frame(d, feature_columns()).where(F.col("frame_role") == "train")
+    long = quality.long_form(train, ["horizon_days", "label_elevated_chargeback"], feature_columns(), "feature")
+    return rounded(metrics.single_feature_audit(long.withColumn("value", fixed(F.col("value"), 6)), ["horizon_days"]))
 
 
 @query("all_feature_auc_top10")

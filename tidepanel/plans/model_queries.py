@@ -13,11 +13,14 @@ from tidepanel.plans.decision_queries import HORIZON, request_log
 from tidepanel.plans.registry import query, rounded
 from tidepanel.plans.baseline_run import BaselineRun
 from tidepanel.plans.staged import StagedRun
-from tidepanel.plans.training import calibrated_forest, calibration_report, leakage_checks, model_frame, role
+from tidepanel.plans.training import BASELINE, BY, calibrated_forest, calibration_report, leakage_checks, model_frame, role
 
 KEYS = ["merchant_id", "as_of_date", "day_index"]
 
 
+COMPARED = ["precision", "recall", "f1", "pr_auc", "roc_auc", "brier_score", "stress_recall", "median_warning_lead_time_days", "n_episodes_total", "n_early_warning"]
+
+
 @query("model_comparison")
 def _(d):
     """The threshold baseline and three models at every horizon."""
@@ -30,6 +33,19 @@ def _(d):
     return rounded(BaselineRun(d).report())
 
 
+@query("baseline_run_threshold_rows")
+def _(d):
+    """The threshold baseline's rows of the full run, which must equal its own evaluation."""
+    rows = BaselineRun(d).comparison.where(F.col("model") == BASELINE)
+    return rounded(rows.select(*BY, *COMPARED))
+
+
+@query("baseline_run_threshold_errors")
+def _(d):
+    rates = BaselineRun(d).error_rates.where(F.col("model") == BASELINE)
+    return rounded(rates.drop("model"))
+
+
 @query("model_error_breakdown")
 def _(d):
     return BaselineRun(d).error_breakdown
@@ -105,7 +121,7 @@ def _explained(d, rows: str = "normal_test"):
 
 @query("attribution_faithfulness")
 def _(d):
-    return attribution.faithfulness(_explained(d)[1])
+    return rounded(attribution.faithfulness(_explained(d)[1]))
 
 
 @query("global_attribution")
