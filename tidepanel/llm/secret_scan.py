@@ -18,9 +18,10 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import given_id, identified, mapped
@@ -42,8 +43,6 @@ MAX_VOCABULARY = 256
 MEMO_WORDS = 100_000
 
 _OUT, _BEGIN, _IN = 0, 1, 2
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+")
-_JOIN = re.compile(r"[.:=~@]{1,3}")
 _NEAR = re.compile(r"[A-Za-z0-9+/_-]+|\w|[^\w\s]")
 
 
@@ -59,31 +58,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of (start, end) tokens with digits and the marks that join them."""
-    out: list[list[tuple[int, int]]] = []
-    last = -1
-    for m in _CANDIDATE.finditer(text):
-        if out and last >= 0:
-            gap = text[last : m.start()] if m.start() - last <= 3 else "?"
-            if not gap.strip():
-                out[-1].append(m.span())
-                last = m.end()
-                continue
-            if _JOIN.fullmatch(gap):
-                out[-1] += [(i, i + 1) for i in range(last, m.start())]
-                out[-1].append(m.span())
-                last = m.end()
-                continue
-        out.append([m.span()])
-        last = m.end()
-    return out
+_SIZES = [sum(n >= k for k in (4, 8, 12, 16, 20, 32, 48)) for n in range(49)]
 
 
 def shape(token: str) -> str:
     """Length class, the kinds of characters, and how often letters and digits alternate."""
     n = len(token)
-    size = sum(n >= k for k in (4, 8, 12, 16, 20, 32, 48))
+    size = _SIZES[min(n, 48)]
+    if token.isascii() and token.isalpha():
+        low, up = not token.isupper(), not token.islower()
+        return f"{size}{'a' * low}{'A' * up}{'x' * (not token.strip('abcdef'))}d0t0"
     low = any("a" <= c <= "z" for c in token)
     up = any("A" <= c <= "Z" for c in token)
     digit = sum("0" <= c <= "9" for c in token)
@@ -108,14 +92,17 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _NEAR.finditer(text)]
 
 
-def own_features(token: str) -> list[str]:
-    """Also the shape's parts, each step of them a feature, so that shapes never seen in training have weights."""
-    own = shape(token)
+def shape_features(own: str) -> list[str]:
+    """The shape and its parts, each step of them a feature, so that shapes never seen in training have weights."""
     parts = [f"long {k}" for k in range(1, 1 + int(own[0]))] if own[0].isdigit() else []
     if parts and "d" in own:
         share, turns = own.rsplit("d", 1)[1].split("t")
         parts += [f"digits {k}" for k in range(1, 1 + int(share))] + [f"turns {k}" for k in range(1, 1 + int(turns))]
-    return ["bias", f"shape {own}", f"start {token[:4]}", f"size {len(token) // 4}", *parts]
+    return ["bias", f"shape {own}", *parts]
+
+
+def own_features(token: str) -> list[str]:
+    return [*shape_features(shape(token)), f"start {token[:4]}", f"size {len(token) // 4}"]
 
 
 def after_feature(before: str, token: str) -> str:
@@ -140,22 +127,19 @@ class Field:
     def __getstate__(self):
         return self.__dict__ | {"memo": None}
 
+    def known(self) -> "_Memo":
+        if self.memo is None or len(self.memo.number) > MEMO_WORDS:
+            self.memo = _Memo(self.weights, self.steps)
+        return self.memo
+
     def emissions(self, words: list[str], about: list[str]) -> np.ndarray:
         """Scores (tokens x tags): a token's weights are looked up once and kept by the worker."""
-        if self.memo is None or len(self.memo.number) > MEMO_WORDS:
-            self.memo = _Memo(self.weights)
-        rows, last, kind, after = self.memo.rows(words)
-        out = rows[:, :3].copy()
-        for j, k in enumerate((-3, -2, -1, 1, 2)):
-            # A neighbour's word counts for the tokens k places off.
-            near = rows[:, 3 + 3 * j : 6 + 3 * j]
-            if k < 0:
-                out[-k:] += near[:k]
-            else:
-                out[:-k] += near[k:]
-        out += after[np.concatenate([[0], last[:-1]]), kind]
+        memo = self.known()
+        return memo.scores(memo.numbers(words), self.about(about))
+
+    def about(self, features: list[str]) -> np.ndarray:
         zero = np.zeros(3)
-        return out + sum((self.weights.get(f, zero) for f in about), zero)
+        return sum((self.weights.get(f, zero) for f in features), zero)
 
     def possible(self, scores: np.ndarray) -> np.ndarray:
         """Which tokens the best path may tag; all others are outside for sure."""
@@ -216,12 +200,22 @@ class Field:
         return local, pairs
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        """(start, end) of every secret that the field tags in a text."""
-        found = tokens_of(text) if self.trained else []
-        if not found:
+        """(start, end) of every secret that the field tags in a text.
+
+        First a bound from one number per word decides whether any path may tag anything; only then are
+        all tokens of the text scored.
+        """
+        words = _NEAR.findall(text) if self.trained else []
+        if not words:
+            return []
+        memo, about = self.known(), self.about(file_features(text))
+        ids = memo.numbers(words)
+        if not memo.may_tag(ids, about):
+            return []
+        tags = self.tags(memo.scores(ids, about))
+        if not any(tags):
             return []
-        tags = self.tags(self.emissions([text[a:b] for a, b in found], file_features(text)))
-        out = []
+        found, out = tokens_of(text), []
         for i in np.flatnonzero(tags):
             a, b = found[i]
             if tags[i] == _BEGIN:
@@ -235,36 +229,100 @@ class _Memo:
     """Weights of the words met so far: their own, and those that they give to their neighbours."""
 
     KIND = "01234567m"
+    NEAR = (-3, -2, -1, 1, 2)
 
-    def __init__(self, weights: dict[str, np.ndarray]):
+    def __init__(self, weights: dict[str, np.ndarray], steps: np.ndarray):
         self.weights, self.number = weights, {}
-        self.table, self.at = np.zeros((1024, 18)), np.zeros((1024, 2), np.int64)
+        self.own, self.near = np.zeros((1024, 3)), np.zeros(1024, np.int64)
+        # Most a token's own weights can gain by a tag over none.
+        self.most, self.at = np.zeros(1024), np.zeros((1024, 2), np.int64)
         # Row 0 stands before the first token, row 1 for all characters without a weight.
         self.ends = {"": 0}
+        self.neighbours: dict[str, int] = {}
         for f in weights:
             if f[:6] == "after " and len(f) == 9:
                 self.ends.setdefault(f[6], len(self.ends) + 1)
+            if f.partition(" ")[0] in ("-3", "-2", "-1", "1", "2"):
+                self.neighbours.setdefault(f.partition(" ")[2], 1 + len(self.neighbours))
         zero = np.zeros(3)
         self.after = np.zeros((len(self.ends) + 1, len(self.KIND), 3))
         for end, i in self.ends.items():
             self.after[i] = [weights.get(f"after {end} {z}", zero) for z in self.KIND]
-
-    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        # Row 0 stands for all words that no neighbour feature names.
+        self.given = np.zeros((1 + len(self.neighbours), len(self.NEAR), 3))
+        for word, i in self.neighbours.items():
+            self.given[i] = [weights.get(f"{k} {word}", zero) for k in self.NEAR]
+        self.after_most, self.given_most = _gain(self.after), np.ascontiguousarray(_gain(self.given).T)
+        none = steps[_OUT, _OUT]
+        self.enter = max(steps[_OUT, _BEGIN], steps[_BEGIN:, _BEGIN:].max()) - none
+        self.leave = steps[_BEGIN:, _OUT].max() - none
+        self.shapes: dict[str, int] = {}
+        self.by_shape = np.zeros((0, 3))
+        self.starts, self.by_start = self._table("start ", str)
+        self.sizes, self.by_size = self._table("size ", int)
+
+    def _table(self, prefix: str, read) -> tuple[dict, np.ndarray]:
+        """Row numbers and weights of the features with a prefix; row 0 is for all others."""
+        found = [f for f in self.weights if f.startswith(prefix)]
+        rows = np.array([np.zeros(3), *[self.weights[f] for f in found]])
+        return {read(f[len(prefix) :]): i for i, f in enumerate(found, 1)}, rows
+
+    def numbers(self, words: list[str]) -> np.ndarray:
         known = self.number
-        for w in set(words).difference(known):
-            self._add(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        at = self.at[ids]
-        return self.table[ids], at[:, 0], at[:, 1], self.after
-
-    def _add(self, word: str) -> None:
-        i, get, zero, low = len(self.number), self.weights.get, np.zeros(3), word.lower()
-        if i == len(self.table):
-            self.table, self.at = np.concatenate([self.table, 0 * self.table]), np.concatenate([self.at, 0 * self.at])
-        self.table[i, :3] = sum((get(f, zero) for f in own_features(word)), zero)
-        self.table[i, 3:] = np.concatenate([get(f"{k} {low}", zero) for k in (-3, -2, -1, 1, 2)])
-        self.at[i] = self.ends.get(word[-1], 1), self.KIND.index(shape(word)[0])
-        self.number[word] = i
+        fresh = set(words).difference(known)
+        if fresh:
+            self._add(sorted(fresh))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def may_tag(self, ids: np.ndarray, about: np.ndarray) -> bool:
+        """False only if the best path leaves every token outside: each gain is bounded by the sum of its parts' gains."""
+        last, kind = self.at[ids, 0], self.at[ids, 1]
+        gain = self.most[ids] + self.after_most[np.concatenate([[0], last[:-1]]), kind] + (_gain(about) + self.enter)
+        near = self.near[ids]
+        for j, k in enumerate(self.NEAR):
+            if k < 0:
+                gain[-k:] += self.given_most[j][near[:k]]
+            else:
+                gain[:-k] += self.given_most[j][near[k:]]
+        return bool(_best_ending(gain).max() + self.leave >= -1e-6)
+
+    def scores(self, ids: np.ndarray, about: np.ndarray) -> np.ndarray:
+        out = self.own[ids]
+        near = self.given[self.near[ids]]
+        for j, k in enumerate(self.NEAR):
+            # A neighbour's word counts for the tokens k places off.
+            if k < 0:
+                out[-k:] += near[:k, j]
+            else:
+                out[:-k] += near[k:, j]
+        out += self.after[np.concatenate([[0], self.at[ids[:-1], 0]]), self.at[ids, 1]]
+        return out + about
+
+    def _add(self, words: list[str]) -> None:
+        first = len(self.number)
+        while first + len(words) > len(self.near):
+            self.own, self.near, self.most, self.at = (np.concatenate([x, 0 * x]) for x in (self.own, self.near, self.most, self.at))
+        shapes, ends, starts, sizes, near = self.shapes, self.ends, self.starts, self.sizes, self.neighbours
+        kinds = [shape(word) for word in words]
+        for kind in set(kinds).difference(shapes):
+            # Features that the shape alone decides.
+            shapes[kind] = len(self.by_shape)
+            self.by_shape = np.vstack([self.by_shape, sum((self.weights[f] for f in shape_features(kind) if f in self.weights), np.zeros(3))])
+        of = np.array([shapes[kind] for kind in kinds])
+        rows = slice(first, first + len(words))
+        self.own[rows] = self.by_shape[of]
+        self.own[rows] += self.by_start[[starts.get(word[:4], 0) for word in words]]
+        self.own[rows] += self.by_size[[sizes.get(len(word) // 4, 0) for word in words]]
+        self.most[rows] = _gain(self.own[rows])
+        self.at[rows, 0] = [ends.get(word[-1], 1) for word in words]
+        self.at[rows, 1] = [self.KIND.index(kind[0]) for kind in kinds]
+        self.near[rows] = [near.get(word.lower(), 0) for word in words]
+        self.number.update(zip(words, range(first, first + len(words))))
+
+
+def _gain(scores: np.ndarray) -> np.ndarray:
+    """The most that a tag scores above none."""
+    return scores[..., _BEGIN:].max(axis=-1) - scores[..., _OUT]
 
 
 def _best_ending(gain: np.ndarray) -> np.ndarray:
@@ -305,8 +363,12 @@ def train(docs: DataFrame, epochs: int = 6, rate: float = 0.3, decay: float = 1e
     any match the field stays untrained and tags nothing.
     """
     draw = F.pmod(F.xxhash64("text", F.lit("field")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    marks = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
-    rows = docs.select("text", draw.alias("draw"), F.col("text").rlike(marks).alias("hit")).where("text is not null")
+    low = F.lower("text")
+    # The costly search runs only where a keyword stands at all.
+    keyword = reduce(Column.__or__, [F.contains(low, F.lit(word)) for word in ("passw", "secret", "token", "api_key", "apikey")])
+    assigned = F.when(keyword, F.col("text").rlike("(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]")).otherwise(False)
+    hit = assigned | F.col("text").rlike("AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
+    rows = docs.select("text", draw.alias("draw"), hit.alias("hit")).where("text is not null")
     sizes = {r.hit: r["count"] for r in rows.groupBy("hit").count().collect()}
     share = {hit: most / max(1, sizes.get(hit, 0)) for hit, most in ((True, MATCHING_DOCS), (False, OTHER_DOCS))}
     chosen = rows.where(F.col("draw") < F.when(F.col("hit"), share[True]).otherwise(share[False])).select("text")
