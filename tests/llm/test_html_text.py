@@ -110,3 +110,45 @@ def test_a_long_attribute_with_brackets_stays_in_its_tag():
     assert parse(never + "end").parts
     ends = dom._TagEnds("<a x='" + "<b y=\">" * 50_000)
     assert ends.after(2) == 13
+
+
+def visible(page):
+    """All text of a page's tree, in order."""
+    from tidepanel.llm.dom import parse
+
+    def walk(node):
+        for part in node.parts:
+            if isinstance(part, str):
+                yield part
+            else:
+                yield from walk(part)
+
+    return "|".join(t.strip() for t in walk(parse(page)) if t.strip())
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>İ</p><STYLE>x{}</STYLE><p>rest</p>", "İ|rest"),
+        ("<p>a</p><svg width=1 /><p>rest</p>", "a|rest"),
+        ('<p>a</p><svg viewBox="0 0"/><p>rest</p>', "a|rest"),
+        ("<p>a</p><svg width=1/><path/></svg><p>rest</p>", "a|rest"),
+        ("<p>a</p><svg><text>in</text></svg><p>rest</p>", "a|rest"),
+        ("<p>a</p><!--><p>rest</p>", "a|rest"),
+        ("<p>a</p><!---><p>rest</p>", "a|rest"),
+        ("<p>a</p><!-- x --!><p>rest</p>", "a|rest"),
+        ("<p>a</p><!-- x -> y > z --><p>rest</p>", "a|rest"),
+        ("<p>a</p><!----><p>rest</p>", "a|rest"),
+        ("<script>s = '</scripts>'; t = '</script-x>'</script><p>rest</p>", "rest"),
+        ("<script>s</SCRIPT ><p>rest</p>", "rest"),
+        ("<script>never closed </scripts", ""),
+    ],
+)
+def test_nothing_after_odd_markup_is_lost(page, want):
+    assert visible(page) == want
+
+
+def test_long_attribute_values_count_whole():
+    from tidepanel.llm.html_text import tokens
+
+    assert "comments" in tokens({"class": "x1 " * 400 + "comments"})

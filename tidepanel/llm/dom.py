@@ -31,6 +31,11 @@ _SCOPE = frozenset("td th table button body html".split())
 
 _MARK = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: A comment may also be ended by its own opening bracket.
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />]|\Z)", re.ASCII | re.IGNORECASE) for tag in RAW}
+#: A bare attribute value at the end of a tag; a slash that ends it belongs to it.
+_OPEN_VALUE = re.compile(r"""=\s*[^\s"'][^\s]*\Z""")
 _IN_TAG = re.compile(r"""=\s*(["'])|>""")  # a quote opens a value only after an equals sign
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
@@ -54,7 +59,6 @@ def parse(page: str) -> Node:
     """The tree of a page.  Comments, declarations and the content of raw elements are left out."""
     root = Node("#page", {}, None)
     here, at, size = root, 0, len(page)
-    low: str | None = None
     ends = _TagEnds(page)
     while at < size:
         found = _MARK.search(page, at)
@@ -66,8 +70,8 @@ def parse(page: str) -> Node:
         at = found.start()
         mark = found.group()
         if mark == "<!--":
-            end = page.find("-->", at + 4)
-            at = size if end < 0 else end + 3
+            end = _COMMENT_END.search(page, at + 4)
+            at = size if end is None else end.end()
             continue
         if mark in ("<!", "<?"):
             end = page.find(">", at)
@@ -84,10 +88,10 @@ def parse(page: str) -> Node:
         node = Node(tag, attributes(body) if body.strip() else {}, here)
         here.parts.append(node)
         if tag in RAW:
-            if low is None:
-                low = page.lower() if len(page.lower()) == size else page
-            end = low.find(f"</{tag}", at)
-            at = size if end < 0 else end
+            if tag == "svg" and body.endswith("/") and not _OPEN_VALUE.search(body):
+                continue  # a foreign element may close itself
+            stop = _RAW_END[tag].search(page, at)
+            at = size if stop is None else stop.start()
         elif tag not in VOID:
             here = node  # a slash before the bracket does not end an HTML element
     return root

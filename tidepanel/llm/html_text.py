@@ -63,7 +63,7 @@ def tokens(attrs: dict[str, str]) -> tuple[str, ...]:
     out = []
     for name in _NAMING:
         if name in attrs:
-            out += [t.lower() for t in _TOKEN.findall(attrs[name][:500])]
+            out += [t.lower() for t in _TOKEN.findall(attrs[name])]
     return tuple(dict.fromkeys(out))
 
 
