@@ -2,6 +2,8 @@ import random
 from hashlib import sha256
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.samples import awkward, docs, empty
 from tidepanel.llm import line_index
@@ -94,3 +96,41 @@ def test_awkward_rows(spark):
     assert line_index.dedup(empty(spark)).count() == 0
     replaced = line_index.replaced(line_index.build(awkward(spark)), awkward(spark))
     assert replaced.columns == awkward(spark).columns and replaced.count() == awkward(spark).count()
+
+
+def test_filters_decide_what_is_merged(spark, monkeypatch):
+    """A key of one document never reaches the merge unless a filter takes it for a known one."""
+    rows = rows_of(5, range(80))
+    monkeypatch.setattr(line_index, "LOAD", 0.95)
+    index = line_index.nothing(spark, keys_per_shard=20)
+    posted = line_index.postings(docs(spark, rows))
+    index = line_index._with_room(index, posted)
+    asked = [r for r in line_index._asked(index, posted).collect() if r.key is not None]
+    holders = {bytes(r.key): r.n for r in posted.groupBy("key").agg(F.count("*").alias("n")).collect()}
+    assert {k for k, n in holders.items() if n > 1 and sum(bytes(r.key) == k for r in asked) > 1} <= {bytes(r.key) for r in asked if r.maybe}
+    alone = [r for r in asked if holders[bytes(r.key)] == 1]
+    assert len(alone) > 50 and sum(r.maybe for r in alone) <= 2
+    monkeypatch.setattr(line_index.CuckooFilter, "known", lambda self, hashes: np.ones(len(hashes), bool))
+    # Filters that know everything cost merges, yet change no decision.
+    assert sorted(map(tuple, line_index.cleaned(line_index.build(docs(spark, rows)), docs(spark, rows)).collect())) == slow(rows)
+
+
+def test_false_hits_end_in_the_filters(spark):
+    """Filters of very few buckets give false hits; every live key is known all the same, also after deletions."""
+    rows = [(i, "\n".join(f"line {i} of a document {k}" for k in range(40))) for i in range(30)]
+    index = line_index.insert(line_index.build(docs(spark, rows[:10]), keys_per_shard=2000), docs(spark, rows[10:]))
+    index = line_index.delete(index, spark.createDataFrame([(i,) for i in range(5)], "doc_id long"))
+    filters = {r.shard: line_index.CuckooFilter.load(bytes(r.cells), bytes(r.rest)) for r in index.filters.collect()}
+    live = index.counts.collect()
+    assert len(live) == 25 * 40
+    hashes = [int.from_bytes(bytes(r.key)[:8], "big") for r in live]
+    assert all(h in filters[r.shard] for h, r in zip(hashes, live))
+    assert all(filters[r.shard].known(np.array([h], np.uint64))[0] for h, r in zip(hashes, live))
+    assert sum(int((f.cells > 0).sum()) + len(f.rest) for f in filters.values()) == len(live)
+
+
+def test_large_insert_deals_the_shards_first(spark):
+    few, lots = rows_of(6, range(3)), [(100 + i, "\n".join(f"another line {i} {k}" for k in range(30))) for i in range(20)]
+    index = line_index.insert(line_index.build(docs(spark, few), keys_per_shard=25), docs(spark, lots))
+    assert index.shards >= 20
+    assert state(index, docs(spark, few + lots)) == slow(few + lots)

@@ -8,7 +8,9 @@ The index has three tables, split into shards by the line key's hash:
 
 Inserting documents asks the filters first: a key that they do not know is certainly new and is
 appended without touching the exact counts; only the others (true repeats and the filters' rare
-false hits) are merged with the counts.  Deleting documents lowers the counts, hands ownership to
+false hits) are merged with the counts.  ``build`` is an insertion into an empty index.  Documents
+come in ``PIECES`` groups by a hash of their id, one after the other within a shard, so that a key
+that lives in many documents is asked about at most so many times.  Deleting documents lowers the counts, hands ownership to
 the next smallest document and takes keys that nobody holds any more out of the filters, so that
 an insertion followed by its deletion restores every decision.  The decisions themselves always
 come from the exact tables.
@@ -19,12 +21,12 @@ than ten code points are never dropped.  Keys are held as SHA-256 digests.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import NULL_ID, SPACES, given_id, identified, mapped
@@ -34,6 +36,8 @@ LEAST_LENGTH = 10
 #: Live keys of one shard that a filter is planned for; the number of shards follows the key count.
 KEYS_PER_SHARD = 50_000
 SLOTS, MOST_KICKS, LOAD = 4, 200, 0.85
+#: Groups of documents that an insertion asks the filters about in turn.
+PIECES = 16
 
 
 class CuckooFilter:
@@ -49,12 +53,12 @@ class CuckooFilter:
         return CuckooFilter(1 << max(4, int(np.ceil(np.log2(max(1, keys) / SLOTS / LOAD)))))
 
     @staticmethod
-    def load(cells: bytes, rest: list[int]) -> "CuckooFilter":
+    def load(cells: bytes, rest: bytes) -> "CuckooFilter":
         table = np.frombuffer(cells, np.uint16).reshape(-1, SLOTS).copy()
-        return CuckooFilter(len(table), table, rest)
+        return CuckooFilter(len(table), table, np.frombuffer(rest, np.uint64).tolist())
 
-    def dump(self) -> tuple[bytes, list[int]]:
-        return self.cells.tobytes(), sorted(self.rest)
+    def dump(self) -> tuple[bytes, bytes]:
+        return self.cells.tobytes(), np.array(sorted(self.rest), np.uint64).tobytes()
 
     def _place(self, h: int) -> tuple[int, int, int]:
         mark = (h >> 48 & 0xFFFF) or 1
@@ -68,6 +72,17 @@ class CuckooFilter:
         mark, a, b = self._place(h)
         return bool((self.cells[a] == mark).any() or (self.cells[b] == mark).any()) or h in self.rest
 
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each of ``hashes`` (uint64) may be held."""
+        mark = np.maximum(hashes >> np.uint64(48), np.uint64(1))
+        first = hashes & np.uint64(self.buckets - 1)
+        other = first ^ (mark * np.uint64(0x5BD1E995) & np.uint64(self.buckets - 1))
+        wanted = mark.astype(np.uint16)[:, None]
+        hit = (self.cells[first] == wanted).any(1) | (self.cells[other] == wanted).any(1)
+        if self.rest:
+            hit |= np.isin(hashes, np.array(sorted(self.rest), np.uint64))
+        return hit
+
     def add(self, h: int) -> None:
         mark, a, b = self._place(h)
         for bucket in (a, b):
@@ -135,82 +150,118 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
 
 
-def _hash64(key: pd.Series) -> list[int]:
-    return [int.from_bytes(k[:8], "big") for k in key]
+def _hashes(keys: pd.Series) -> np.ndarray:
+    """The first eight bytes of every 32-byte key."""
+    return np.frombuffer(b"".join(keys), ">u8")[::4].astype(np.uint64)
 
 
-def _counted(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("id").alias("owner")).withColumn("shard", _shard(shards))
+def _counted(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.groupBy("key", *more).agg(F.count(F.lit(1)).alias("refs"), F.min("id").alias("owner"))
 
 
-def _filters(counts: DataFrame, keys_per_shard: int) -> DataFrame:
-    """A filter per shard; a shard's keys are unique rows, so no hot line meets another copy here."""
+def _load(filters: pd.DataFrame, keys: int) -> CuckooFilter:
+    if filters.empty:
+        return CuckooFilter.planned(keys)  # a shard that held no key so far
+    return CuckooFilter.load(filters["cells"].iloc[0], filters["rest"].iloc[0])
 
-    def build(keys: pd.DataFrame) -> pd.DataFrame:
-        made = CuckooFilter.planned(max(len(keys), keys_per_shard))
-        for h in sorted(_hash64(keys["key"])):
-            made.add(h)
-        cells, rest = made.dump()
-        return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "cells": [cells], "rest": [[int(x) - (1 << 63) for x in rest]]})
 
-    return counts.select("shard", "key").groupBy("shard").applyInPandas(build, "shard int, cells binary, rest array<long>")
+def _row(shard: int, made: CuckooFilter) -> pd.DataFrame:
+    cells, rest = made.dump()
+    return pd.DataFrame({"shard": [shard], "cells": [cells], "rest": [rest]})
 
 
-def _load(filters: pd.DataFrame, keys: int) -> CuckooFilter:
-    if filters.empty:
-        return CuckooFilter.planned(keys)  # a shard that held no key so far
-    return CuckooFilter.load(filters["cells"].iloc[0], [int(x) + (1 << 63) for x in filters["rest"].iloc[0]])
+def nothing(spark: SparkSession, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
+    """An index without documents."""
+    return LineIndex(
+        spark.createDataFrame([], "key binary, id long, lines long"),
+        spark.createDataFrame([], "key binary, refs long, owner long, shard int"),
+        spark.createDataFrame([], "shard int, cells binary, rest binary"),
+        0,
+        keys_per_shard,
+    )
 
 
 def build(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-    """The index of ``docs`` (doc_id, text), written to the shared folder.
+    """The index of ``docs`` (doc_id, text): all of them inserted into an empty one.
 
     A null or empty text is one empty line and holds no key.  Rows that repeat a doc_id are one
-    document; rows without an id are one document that sorts first.
+    document; rows without an id are one document that sorts first.  Other columns are not read.
     """
-    rows = written(postings(docs), "postings")
-    live = rows.agg(F.approx_count_distinct("key")).first()[0]
-    shards = max(1, -(-live // keys_per_shard))
-    return _from_counts(rows, written(_counted(rows, shards), "counts"), shards, keys_per_shard)
+    return insert(nothing(docs.sparkSession, keys_per_shard), docs)
 
 
-def _from_counts(rows: DataFrame, counts: DataFrame, shards: int, keys_per_shard: int) -> LineIndex:
-    return LineIndex(rows, counts, written(_filters(counts, keys_per_shard), "filters"), shards, keys_per_shard)
+def _with_room(index: LineIndex, coming: DataFrame) -> LineIndex:
+    """The index dealt to enough shards for the keys it holds and the ``coming`` ones, before these are asked about."""
+    more = coming.agg(F.approx_count_distinct("key")).first()[0]
+    if not index.shards:
+        return replace(index, shards=max(1, -(-more // index.keys_per_shard)))
+    live = index.counts.count() + more
+    if live <= 1.2 * index.shards * index.keys_per_shard:
+        return index
+    shards = 2 * -(-live // index.keys_per_shard)
+    counts = written(index.counts.withColumn("shard", _shard(shards)), "counts")
+    dealt = replace(index, counts=counts, filters=index.filters.limit(0), shards=shards)
+    return replace(dealt, filters=_changed(dealt, counts, adding=True))
 
 
-def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
-    """The index with further documents.  A document that the index already holds must be deleted first.
+def _asked(index: LineIndex, rows: DataFrame) -> DataFrame:
+    """The filters' answers about the keys of ``rows``, and the filters that then hold the unknown ones.
 
-    The filters sort the new keys into certainly new ones and ones to be merged with the counts.
-    Once the shards hold a fifth more keys than planned, keys are dealt to twice as many as needed.
+    One row per key and piece (key, refs, owner, shard, maybe, added), and one per shard (shard, cells,
+    rest).  ``maybe`` marks all rows of a key that its filter knew at any of its pieces, be it from the
+    index, from an earlier piece or by a false hit; ``added`` marks the row at which the key was added.
     """
-    rows = written(postings(docs), "postings")
-    fresh = _counted(rows, index.shards)
+    per_shard = index.keys_per_shard
+    piece = F.pmod(F.xxhash64("id"), F.lit(PIECES)).cast("int").alias("piece")
+    parts = _counted(rows, piece).withColumn("shard", _shard(index.shards))
 
     def ask(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-        known = _load(filters, 1)
-        return keys.assign(seen=[h in known for h in _hash64(keys["key"])])
+        shard = int((keys if len(keys) else filters)["shard"].iloc[0])
+        hashes = _hashes(keys["key"])
+        order = np.lexsort((hashes, keys["piece"]))
+        keys, hashes = keys.iloc[order], hashes[order]
+        made = _load(filters, max(len(np.unique(hashes)), per_shard))
+        seen = np.zeros(len(keys), bool)
+        for at in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys["piece"])) + 1):
+            seen[at] = made.known(hashes[at])
+            for h in hashes[at][~seen[at]].tolist():
+                made.add(h)
+        out = keys[["key", "refs", "owner", "shard"]].assign(maybe=np.isin(hashes, hashes[seen]), added=~seen)
+        return pd.concat([out, _row(shard, made)]).astype({"refs": "Int64", "owner": "Int64", "maybe": "boolean", "added": "boolean"})
+
+    return parts.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(
+        ask, "key binary, refs long, owner long, shard int, maybe boolean, added boolean, cells binary, rest binary"
+    )
+
+
+def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
+    """The index with further documents.  A document that the index already holds must be deleted first.
 
-    asked = fresh.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(
-        ask, "key binary, refs long, owner long, shard int, seen boolean"
+    Keys that the filters do not know go straight to the counts; the others are added up and merged
+    with them.  False hits are then added to their filters, so that these hold every live key once.
+    """
+    rows = written(postings(docs), "postings")
+    index = _with_room(index, rows)
+    asked = written(_asked(index, rows), "asked")
+    certain = asked.where("not maybe").select("key", "refs", "owner", "shard")
+    doubtful = asked.where("maybe").groupBy("key", F.col("shard").alias("_shard")).agg(
+        F.sum("refs").alias("_refs"), F.min("owner").alias("_owner"), F.max("added").alias("_added")
     )
-    asked = written(asked, "asked")
-    maybe = asked.where("seen").select("key", F.col("refs").alias("more"), F.col("owner").alias("other"))
-    merged = index.counts.join(maybe, "key", "left").select(
-        "key",
-        (F.col("refs") + F.coalesce("more", F.lit(0))).alias("refs"),
-        F.least("owner", F.coalesce("other", "owner")).alias("owner"),
-        "shard",
+    merged = written(
+        index.counts.join(doubtful, "key", "full_outer").select(
+            "key",
+            (F.coalesce("refs", F.lit(0)) + F.coalesce("_refs", F.lit(0))).alias("refs"),
+            F.least("owner", "_owner").alias("owner"),
+            F.coalesce("shard", "_shard").alias("shard"),
+            (F.col("refs").isNull() & ~F.col("_added")).alias("missed"),
+        ),
+        "merged",
     )
-    false_hits = asked.where("seen").join(index.counts.select("key"), "key", "left_anti")
-    new = written(asked.where("not seen").unionByName(false_hits).drop("seen"), "new")
-    counts = written(merged.unionByName(new), "counts")
-    rows = written(index.postings.unionByName(rows), "postings")
-    live = counts.count()
-    if live > 1.2 * index.shards * index.keys_per_shard:
-        shards = 2 * -(-live // index.keys_per_shard)
-        return _from_counts(rows, written(counts.withColumn("shard", _shard(shards)), "counts"), shards, index.keys_per_shard)
-    return LineIndex(rows, counts, _changed(index, new, adding=True), index.shards, index.keys_per_shard)
+    counts = written(merged.drop("missed").unionByName(certain), "counts")
+    filters = asked.where(F.col("cells").isNotNull()).select("shard", "cells", "rest")
+    grown = LineIndex(written(index.postings.unionByName(rows), "postings"), counts, filters, index.shards, index.keys_per_shard)
+    missed = merged.where("missed")
+    return grown if missed.isEmpty() else replace(grown, filters=_changed(grown, missed, adding=True))
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
@@ -218,24 +269,24 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     gone = identified(doc_ids).distinct()
     kept = written(index.postings.join(gone, "id", "left_anti"), "postings")
     touched = index.postings.join(gone, "id", "left_semi").select("key").distinct()
-    left = _counted(kept.join(touched, "key", "left_semi"), index.shards)
+    left = _counted(kept.join(touched, "key", "left_semi")).withColumn("shard", _shard(index.shards))
     counts = written(index.counts.join(touched, "key", "left_anti").unionByName(left), "counts")
     dead = touched.join(left, "key", "left_anti").withColumn("shard", _shard(index.shards))
     return LineIndex(kept, counts, _changed(index, dead, adding=False), index.shards, index.keys_per_shard)
 
 
 def _changed(index: LineIndex, keys: DataFrame, adding: bool) -> DataFrame:
+    """The filters with ``keys`` (key, shard) added or removed."""
+    per_shard = index.keys_per_shard
+
     def change(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        shard = (old if len(old) else rows)["shard"].iloc[0]
         made = _load(old, max(len(rows), per_shard))
-        for h in sorted(_hash64(rows["key"])):
+        for h in np.sort(_hashes(rows["key"])).tolist():
             made.add(h) if adding else made.remove(h)
-        cells, rest = made.dump()
-        return pd.DataFrame({"shard": [shard], "cells": [cells], "rest": [[int(x) - (1 << 63) for x in rest]]})
+        return _row(int((old if len(old) else rows)["shard"].iloc[0]), made)
 
-    per_shard = index.keys_per_shard
     pairs = index.filters.groupBy("shard").cogroup(keys.select("shard", "key").groupBy("shard"))
-    return written(pairs.applyInPandas(change, "shard int, cells binary, rest array<long>"), "filters")
+    return written(pairs.applyInPandas(change, "shard int, cells binary, rest binary"), "filters")
 
 
 def _lost(index: LineIndex) -> DataFrame:
@@ -282,5 +333,5 @@ def replaced(index: LineIndex, docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """All of ``docs`` inserted into an empty index and cleaned by it."""
+    """All of ``docs`` inserted into an empty index and cleaned by it; one row per row, none for an empty table."""
     return cleaned(build(docs), docs)
