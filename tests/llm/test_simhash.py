@@ -88,6 +88,19 @@ def test_awkward_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (None, text(2)), (None, text(2)), (7, text(2)), (1, text(3)), (9, text(3)), (2, None), (2, "")]
+    kept = simhash.one_of_each(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted([(1, text(1)), (0, text(2)), (1, text(3)), (2, "")])
+    # A third of all rows is one row without an id.
+    kept = simhash.one_of_each(docs(spark, [(None, text(5))] * 60 + [(k, text(100 + k)) for k in range(20)])).collect()
+    assert len(kept) == 21
+    frame = docs(spark, rows)
+    assert simhash.one_of_each(frame).columns == frame.columns
+    assert sorted(map(str, simhash.one_of_each(frame.repartition(5)).collect())) == sorted(map(str, simhash.one_of_each(frame).collect()))
+    assert simhash.one_of_each(empty(spark)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     random.Random(1).shuffle(edges)

@@ -54,16 +54,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, bits) for every row of ``docs`` (doc_id, text); bits is the fingerprint as a signed long."""
+    """(id, text_key, bits) for every row of ``docs`` (doc_id, text).
+
+    bits is the fingerprint as a signed long, text_key the text's MD5; a null text counts as empty.
+    """
 
     def make():
-        def one(i, text):
+        def one(i, text, key):
             f = fingerprint(text)
-            return i, f - (1 << 64) if f >> 63 else f
+            return i, key, f - (1 << 64) if f >> 63 else f
 
         return one
 
-    return mapped(identified(docs, "text"), make, "id long, bits long")
+    return mapped(identified(docs, "text").withColumn("text_key", _text_key()), make, "id long, text_key binary, bits long")
+
+
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def _segment(bits: Column, low: int, size: int) -> Column:
@@ -138,6 +145,14 @@ def linked(nodes: DataFrame) -> DataFrame:
     return _labelled(nodes, links[0].unionByName(links[1]))
 
 
+def _components(rows: DataFrame) -> DataFrame:
+    """(bits, comp, first): the component of every fingerprint, and the smallest id in it."""
+    nodes = written(rows.groupBy("bits").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct")
+    comps = written(linked(nodes.select("bits", "copies")).join(nodes, "bits").select("bits", "comp", "first"), "components")
+    first = comps.groupBy("comp").agg(F.min("first").alias("first"))
+    return comps.select("bits", "comp").join(first, "comp")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -145,12 +160,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     doc_id reachable.  Null, empty and wordless texts have fingerprint zero and link like any
     other.  Repeated rows are grouped each; a null id sorts first and comes back as null.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("bits").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct")
-    comps = written(linked(nodes.select("bits", "copies")).join(nodes, "bits").select("bits", "comp", "first"), "components")
-    first = comps.groupBy("comp").agg(F.min("first").alias("first"))
-    named = comps.select("bits", "comp").join(first, "comp").select("bits", "first")
-    return rows.join(named, "bits").select(
+    rows = written(fingerprints(docs).drop("text_key"), "fingerprints")
+    return rows.join(_components(rows).select("bits", "first"), "bits").select(
         given_id().alias("doc_id"),
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         given_id("first").alias("component_id"),
@@ -158,8 +169,32 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its group."""
-    first = grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = first.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return rows.join(kept, "__id", "left_semi").select(*docs.columns)
+    """One row of ``docs``, all columns, of every group.
+
+    It is the one with the smallest doc_id (a null id is the smallest), then the smallest MD5 of the
+    text, a null text counting as empty.  Rows that agree in both are the same document: the one whose
+    columns, as JSON, have the smallest hash stays.  Rows that share an id but lie in different groups
+    are each judged in their own.  An empty table stays empty; columns of any name pass unchanged.
+    """
+    rows = written(fingerprints(docs), "fingerprints")
+    alike = rows.groupBy("bits", "id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    least = (
+        alike.join(_components(rows).select("bits", "comp"), "bits")
+        .groupBy("comp")
+        .agg(F.min(F.struct("id", "text_key", "rows")).alias("least"))
+    )
+    # Two groups cannot share a text, so (id, text_key) is unique here.
+    kept = written(least.select("least.*"), "kept")
+    own_id, own_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), _text_key()
+
+    def of(part: DataFrame) -> DataFrame:
+        keys = part.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"))
+        return docs.withColumn("__id", own_id).withColumn("__key", own_key).join(keys, ["__id", "__key"], "left_semi")
+
+    single = of(kept.where("rows = 1")).select(*docs.columns)
+    repeated = kept.where("rows > 1")
+    if repeated.isEmpty():
+        return single
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = of(repeated).groupBy("__id", "__key").agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("__row"))
+    return single.unionByName(chosen.select("__row.*"))
