@@ -36,6 +36,35 @@ def test_held_out_accuracy_and_rejection(spark):
     assert np.array_equal(model.scores, again.scores)
 
 
+def test_buckets_equal_a_plain_count():
+    for words in ("Straße naïve ÉTÉ x", "a", "ab  12 cde-fgh", "ñandú " * 5):
+        codes = language.code_points(words)
+        want = []
+        for n in language.NGRAMS:
+            for i in range(len(codes) - n + 1):
+                gram = [int(c) for c in codes[i : i + n]]
+                if 32 in gram[1:-1]:
+                    continue
+                rolling = gram[0]
+                for c in gram[1:]:
+                    rolling = (rolling * 0x01000193 + c) % 2**32
+                want.append((rolling ^ (n * 0x9E3779B1) % 2**32) * 0x85EBCA6B % 2**32 >> 32 - 15)
+        assert sorted(language.buckets(codes, 15)) == sorted(want)
+
+
+def test_sample_is_bounded_and_loses_no_language(spark):
+    many = [(k, f"word{k} " * 5, f"l{k % 230:03d}") for k in range(920)]
+    hot = [(1000 + k, "the same text in a third of all rows", "l000") for k in range(500)]
+    long = [(5000, "ab " * 100_000, "zz")]
+    data = spark.createDataFrame(many + hot + long, "doc_id long, text string, lang string")
+    rows = language.sampled(data, F.lit(True)).collect()
+    assert len({r.lang for r in rows}) == 231  # a rare language learns like any other
+    assert sum(r.text.startswith("the same") for r in rows) == 1
+    assert max(len(r.text) for r in rows) == language.MAX_CHARACTERS
+    few = language.sampled(data, F.lit(True), 2).groupBy("lang").count().collect()
+    assert sum(r["count"] for r in few) < 700
+
+
 def test_labels_and_ids_are_no_inputs(spark):
     data = frame(spark, 2, 150)
     model = language.fit(data, F.lit(True))

@@ -20,8 +20,8 @@ from tidepanel.llm.common import given_id, identified, mapped
 
 UNKNOWN = "und"
 NGRAMS = (2, 3, 4)
-#: Bounds of the training sample: documents per language, languages, fragments and their length.
-PER_LANGUAGE, MAX_LANGUAGES, MAX_FRAGMENTS, FRAGMENT = 250, 200, 6000, 256
+#: Bounds of the training sample per language: documents, characters of one of them, fragments; and a fragment's length.
+PER_LANGUAGE, MAX_CHARACTERS, FRAGMENTS_PER_LANGUAGE, FRAGMENT = 250, 1 << 16, 1500, 256
 
 _LETTERS: np.ndarray | None = None
 
@@ -95,14 +95,25 @@ class LanguageModel:
 
 
 def sampled(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` rows of each language, chosen by a hash; bounded whatever the input."""
+    """About ``per_language`` distinct texts of each language, chosen by a hash of the text.
+
+    Every language takes part, and copies of a text count once, so that no text that many rows share
+    is collected many times.  Of a text longer than ``MAX_CHARACTERS`` so many from a place that its
+    hash gives are learned from.
+    """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.xxhash64("text", "lang")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(place).alias("texts"))
+    drawn = F.pmod(F.col("place"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(per_language)) / F.col("texts")
+    spare = F.greatest(F.length("text") - MAX_CHARACTERS + 1, F.lit(1))
+    part = F.col("text").substr(1 + F.pmod(F.col("place"), spare).cast("int"), F.lit(MAX_CHARACTERS))
+    # One row per language on the side of the counts; Spark sees its size.
     return (
-        known.join(F.broadcast(counts), "lang")  # at most MAX_LANGUAGES rows
-        .where(draw < F.lit(float(per_language)) / F.col("count"))
-        .select("lang", "text", draw.alias("draw"))
+        known.select("lang", "text", place.alias("place"))
+        .join(counts, "lang")
+        .where(drawn)
+        .groupBy("lang", "place")
+        .agg(F.min(part).alias("text"))
     )
 
 
@@ -138,7 +149,9 @@ def fit(
     fragments = [(k, c[at : at + FRAGMENT]) for k, c in train for at in range(0, max(1, len(c) - 8), FRAGMENT)]
     fragments = [(k, buckets(c, bits)) for k, c in fragments]
     fragments = [f for f in fragments if len(f[1])]
-    fragments = [fragments[i] for i in random.permutation(len(fragments))[:MAX_FRAGMENTS]]
+    fragments = [fragments[i] for i in random.permutation(len(fragments))]
+    rank = np.zeros(len(languages), np.int64)
+    fragments = [f for f in fragments if _next(rank, f[0]) < FRAGMENTS_PER_LANGUAGE]
 
     embedding = random.normal(0, 1 / width, (size, width))
     linear, bias = random.normal(0, 0.1, (width, len(languages))), np.zeros(len(languages))
@@ -180,11 +193,18 @@ def fit(
     return model
 
 
+def _next(rank: np.ndarray, k: int) -> int:
+    """How often ``k`` was met before."""
+    rank[k] += 1
+    return rank[k] - 1
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) for every row of ``docs`` (doc_id, text).
 
-    The whole text counts.  A null, empty or letterless text is ``und`` with score 0, rejected.
-    Repeated rows are predicted each; the model's size is bounded by its parameters.
+    The whole text counts, however long.  A null, empty or letterless text is ``und`` with score 0,
+    rejected.  Repeated rows are predicted each; of two equal scores the language first by name wins.
+    An empty table gives no rows; other columns are not read, so their names cannot clash.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,7 +217,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text the model does not reject."""
+    """The rows of ``docs``, all columns, whose text the model does not reject.
+
+    Null, empty and letterless texts go; rows that repeat, or have a null id, are judged each by its
+    text alone.  An empty table stays empty; columns of any name pass unchanged.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
