@@ -8,14 +8,15 @@ the token is outside for sure, and decoding of the stretches between such tokens
 whole text.
 
 Features of a token are its shape, its neighbours' words and shapes, and two figures of the file.
-The field is trained here, by stochastic gradient ascent of the conditional likelihood, on what the
-fixed patterns mark in a bounded sample; the patterns' own keywords are only some of its features,
-so it also tags secrets that the patterns miss.
+The field is trained here, by stochastic gradient ascent of the conditional likelihood, on a bounded
+sample: what the fixed patterns mark, half of the keywords masked by other words, and values of
+further kinds, secret and harmless, that ``secret_samples`` puts between prose of the same sample.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random as plain_random
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm import secret_samples
 from tidepanel.llm.common import given_id, identified, mapped
 
 # The base patterns, the length that a match must have, and the kinds in order.
@@ -38,7 +40,11 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 
 #: Bounds of the training sample: documents with and without pattern matches, and windows of tokens in them.
 MATCHING_DOCS, OTHER_DOCS, MAX_WINDOWS, WINDOW = 400, 400, 4000, 16
-MAX_VOCABULARY = 256
+#: Longer texts (code points) teach nothing; with the bounds above this bounds what reaches the driver.
+SAMPLE_CHARS = 1 << 17
+#: Windows with a made-up secret or harmless value.
+MADE_WINDOWS = 2000
+MAX_VOCABULARY = 512
 #: Words whose weights a worker keeps; bounds its memory, not the result.
 MEMO_WORDS = 100_000
 
@@ -356,11 +362,20 @@ def secret_spans(text: str) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
+def _masked(word: str, draw: plain_random.Random, hosts: list) -> str:
+    """A keyword of the patterns becomes any word of the sample in half of all cases."""
+    if word.lower() not in _KEYWORDS or draw.random() < 0.5:
+        return word
+    words, part = draw.choice(hosts)[:2]
+    return words[draw.choice(part)]
+
+
 def train(docs: DataFrame, epochs: int = 6, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Field:
     """A field from a bounded sample of ``docs`` (text): documents with pattern matches and others.
 
-    Rows are chosen by a hash of the text, at about the bounds above whatever the input.  Without
-    any match the field stays untrained and tags nothing.
+    Distinct texts of at most ``SAMPLE_CHARS`` are chosen by a hash of the text, at about the bounds
+    above whatever the input and never more than twice as many.  Without any match the field stays
+    untrained and tags nothing.
     """
     draw = F.pmod(F.xxhash64("text", F.lit("field")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     low = F.lower("text")
@@ -368,10 +383,12 @@ def train(docs: DataFrame, epochs: int = 6, rate: float = 0.3, decay: float = 1e
     keyword = reduce(Column.__or__, [F.contains(low, F.lit(word)) for word in ("passw", "secret", "token", "api_key", "apikey")])
     assigned = F.when(keyword, F.col("text").rlike("(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]")).otherwise(False)
     hit = assigned | F.col("text").rlike("AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    rows = docs.select("text", draw.alias("draw"), hit.alias("hit")).where("text is not null")
+    rows = docs.select("text", draw.alias("draw"), hit.alias("hit")).where(F.length("text") <= SAMPLE_CHARS)
     sizes = {r.hit: r["count"] for r in rows.groupBy("hit").count().collect()}
     share = {hit: most / max(1, sizes.get(hit, 0)) for hit, most in ((True, MATCHING_DOCS), (False, OTHER_DOCS))}
-    chosen = rows.where(F.col("draw") < F.when(F.col("hit"), share[True]).otherwise(share[False])).select("text")
+    # The draw comes first, so that the patterns run on few rows of this pass.
+    drawn = rows.where(F.col("draw") < max(share.values())).where(F.col("draw") < F.when(F.col("hit"), share[True]).otherwise(share[False]))
+    chosen = drawn.groupBy("draw").agg(F.first("text").alias("text")).orderBy("draw").limit(2 * (MATCHING_DOCS + OTHER_DOCS))
     marked, others = [], []
     for text in sorted(r.text for r in chosen.collect()):
         found, about = tokens_of(text), file_features(text)
@@ -388,7 +405,20 @@ def train(docs: DataFrame, epochs: int = 6, rate: float = 0.3, decay: float = 1e
     others = [others[i] for i in random.permutation(len(others))[: MAX_WINDOWS - len(marked)]]
     # Each window stands for those that were not drawn.
     weight = [marked_all / len(marked)] * len(marked) + [others_all / max(1, len(others))] * len(others)
-    examples = [([token_features(words, i, about) for i in part], tags) for words, part, about, tags in marked + others]
+    drawer = plain_random.Random(seed)
+    hosts = others or marked
+    examples = []
+    for k, (words, part, about, tags) in enumerate(marked + others):
+        near, at = words[max(0, part.start - 3) : part.stop + 2], min(3, part.start)
+        if k < len(marked):
+            near = [_masked(word, drawer, hosts) for word in near]
+        examples.append(([token_features(near, at + i, about) for i in range(len(part))], tags))
+    prose = [[words[i] for i in part if tags[i - part.start] == _OUT] for words, part, _, tags in hosts]
+    for text, spans, host in secret_samples.examples(drawer, prose, MADE_WINDOWS):
+        found = tokens_of(text)
+        words = [text[a:b] for a, b in found]
+        examples.append(([token_features(words, i, hosts[host][2]) for i in range(len(words))], tagged(found, spans)))
+        weight.append(1.0)
     counts: dict[str, int] = {}
     for features, _ in examples:
         for f in {f for fs in features for f in fs}:
