@@ -17,6 +17,60 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def given(spark, tmp_path_factory):
+    """Repeated lines, two lines of a customer on a day, a null customer and a null day."""
+    root = str(tmp_path_factory.mktemp("tables"))
+    d = date
+    lines = [
+        (1, 1, d(1995, 1, 2), 10.0, 0.0, 1.0, "R", "F"),
+        (1, 1, d(1995, 1, 2), 10.0, 0.0, 1.0, "R", "F"),
+        (2, 1, d(1995, 1, 5), 20.0, 0.1, 2.0, "A", "O"),
+        (3, 1, d(1995, 1, 5), 30.0, 0.0, 3.0, "N", "F"),
+        (4, 1, d(1995, 1, 5), 30.0, 0.0, 3.0, "N", "F"),
+        (4, 1, d(1995, 1, 5), None, 0.0, 3.0, "N", "F"),
+        (5, 2, None, 30.0, 0.0, 3.0, "N", "F"),
+        (5, 2, d(1995, 1, 4), 30.0, 0.0, None, "N", "F"),
+    ]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_suppkey long, l_shipdate date, l_extendedprice double, l_discount double, l_quantity double, l_returnflag string, l_linestatus string"
+    ).write.parquet(f"{root}/lineitem.parquet")
+    orders = [(1, 7, "1-URGENT"), (2, 7, "2-HIGH"), (3, 8, "1-URGENT"), (4, None, "5-LOW"), (5, 7, "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{root}/orders.parquet")
+    spark.createDataFrame([(1, 3), (2, 3)], "s_suppkey long, s_nationkey int").write.parquet(f"{root}/supplier.parquet")
+    return root
+
+
+def test_cells_by_hand(spark, given):
+    rows = {(r.entity, r.day): r for r in panels.entity_days(spark, given, "supplier").collect()}
+    first, second = rows[1, date(1995, 1, 2)], rows[1, date(1995, 1, 5)]
+    assert (first.lines, first.gmv, first.refunds, first.refund_cents, first.customers, first.new_customers) == (2, 2000, 2, 2000, 1, 1)
+    assert (second.lines, second.gmv, second.chargeback_cents, second.customers, second.new_customers) == (4, 7800, 1800, 3, 2)
+    assert (second.quantity, second.pay_card, second.pay_bnpl, second.on_time) == (11, 3000, 3000, 3)
+    assert rows[2, date(1995, 1, 4)].quantity is None and rows[2, date(1995, 1, 4)].new_customers == 1
+    merged = {r.day: r for r in panels.entity_days(spark, given, "nation").collect()}
+    assert (merged[date(1995, 1, 4)].customers, merged[date(1995, 1, 4)].new_customers) == (1, 0)
+
+
+def test_lines_move_once_by_customer(spark, given):
+    moved = re.findall(r"Exchange hashpartitioning\(entity#\d+L?, customer#", plan(panels.entity_days(spark, given, "supplier")))
+    assert len(moved) == 1
+
+
+@pytest.mark.parametrize("level", ["nation", "supplier"])
+def test_dense_rows_are_not_moved_again(spark, given, level):
+    daily = panels.panel(spark, given, level)
+    for built in (build_features(daily, panels.merchant_signups(spark, given, level)), build_labels(daily), quality.gap_audit(daily)):
+        text = plan(built)
+        assert "explode(sequence(" in text
+        above = text[: text.index("explode(sequence(")]
+        assert not re.search(r"Exchange hashpartitioning\((entity|merchant_id)#", above)
+
+
+def test_supplier_days_keep_all_tasks(spark, given):
+    assert "REPARTITION_BY_NUM" in plan(panels.panel(spark, given, "supplier"))
+
+
 def test_gap_audit_without_copies_of_rows(spark):
     rows = {
         "whole": [0, 1, 2],
