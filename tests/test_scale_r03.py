@@ -84,3 +84,13 @@ def test_gap_audit_without_copies_of_rows(spark):
     assert "Expand" not in plan(found)
     got = {r.merchant_id: (r.n_days, r.day_index_gap, r.date_gap) for r in found.collect()}
     assert got == {"whole": (3, False, False), "hole": (3, True, True), "late": (3, True, False), "twice": (3, True, True), "null": (2, False, True)}
+
+
+def test_labels_are_read_once_for_their_prevalence(spark, tmp_path):
+    rows = [(7, "A", 1), (7, "A", 0), (7, "B", 0), (14, "B", 1)]
+    spark.createDataFrame(rows, "horizon_days long, merchant_id string, label_elevated_chargeback long").write.parquet(f"{tmp_path}/labels")
+    labels, merchants = spark.read.parquet(f"{tmp_path}/labels"), spark.createDataFrame([("A",), ("B",)], "merchant_id string")
+    found = effects.label_prevalence(labels, merchants)
+    assert not [f for f in found.inputFiles() if f"{tmp_path}/labels" in f]
+    got = {r.horizon_days: r for r in found.collect()}
+    assert (got[7].usable_rows, got[7].positives, got[7].median_merchant_rate, got[14].n_merchants_all_positive) == (3, 1, 0.25, 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.numeric import count_where, ratio_or_null
 from tidepanel.functions.ordered import exact_quantiles
 from tidepanel.operators import windows as W
+from tidepanel.sources.storage import written
 
 EPS = 1e-9
 
@@ -154,7 +155,9 @@ def label_prevalence(labels: DataFrame, merchants: DataFrame) -> DataFrame:
     per_entity = labels.groupBy("horizon_days", "merchant_id").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("label_elevated_chargeback").alias("positives")
     )
-    rates = per_entity.join(merchants.select("merchant_id"), "merchant_id").withColumn("rate", F.col("positives") / F.col("rows"))
+    joined = per_entity.join(merchants.select("merchant_id"), "merchant_id").withColumn("rate", F.col("positives") / F.col("rows"))
+    # Totals and medians both start from here, so what built the labels runs once.
+    rates = written(joined, "entity_rates")
     totals = rates.groupBy("horizon_days").agg(
         F.sum("rows").alias("usable_rows"),
         F.sum("positives").alias("positives"),
