@@ -86,6 +86,21 @@ def test_gap_audit_without_copies_of_rows(spark):
     assert got == {"whole": (3, False, False), "hole": (3, True, True), "late": (3, True, False), "twice": (3, True, True), "null": (2, False, True)}
 
 
+def test_core_columns_are_counted_one_by_one(spark, monkeypatch):
+    plans, write = {}, quality.written
+
+    def noted(df, name):
+        plans[name] = plan(df)
+        return write(df, name)
+
+    monkeypatch.setattr(quality, "written", noted)
+    daily = panel(spark, [dict(gmv=float(i), refund_rate=float("nan") if i else 0.5, aov=None) for i in range(5)])
+    got = {r.metric: r for r in quality.core_distributions(daily).collect()}
+    assert all("Expand" not in p for p in plans.values()) and set(got) == set(quality.CORE_COLUMNS)
+    assert (got["gmv"]["count"], got["gmv"]["mean"], got["gmv"]["median"], got["gmv"]["max"]) == (5, 2.0, 2.0, 4.0)
+    assert (got["refund_rate"]["count"], got["refund_rate"]["median"], got["aov"]["count"], got["aov"]["mean"]) == (1, 0.5, 0, None)
+
+
 def test_labels_are_read_once_for_their_prevalence(spark, tmp_path):
     rows = [(7, "A", 1), (7, "A", 0), (7, "B", 0), (14, "B", 1)]
     spark.createDataFrame(rows, "horizon_days long, merchant_id string, label_elevated_chargeback long").write.parquet(f"{tmp_path}/labels")
