@@ -101,6 +101,24 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+def test_no_table_by_fingerprint_is_broadcast(spark, monkeypatch):
+    plans = []
+    components, written = simhash.components, simhash.written
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "components", lambda edges: components(kept(edges)))
+    monkeypatch.setattr(simhash, "written", lambda df, name: written(kept(df), name))
+    rows = [(k, t) for k, t in enumerate(near_copies(5, 10) + [text(i) for i in range(10)])]
+    assert kept(simhash.grouped(docs(spark, rows))).count() == len(rows)
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 8
+    # Left are members of components onto fingerprints, and kept rows onto texts: nothing keyed by segment or fingerprint.
+    assert not [line for line in joins if "[t#" in line or "[bits#" in line]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     random.Random(1).shuffle(edges)

@@ -101,6 +101,15 @@ def _near(a: str = "bits", b: str = "other_bits", most: int = BITS) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
 
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of both sides that share a table and a segment value.
+
+    Spark takes an inlined array for one row, so it would broadcast up to 67 rows per fingerprint as
+    if they were one; both sides are always sorted and merged.
+    """
+    return left.hint("merge").join(right, ["t", "v"])
+
+
 def _stars(nodes: DataFrame) -> DataFrame:
     """Links of every member of a bucket to the bucket's most copied fingerprint, where near enough."""
     rows = _tables(nodes, "copies")
@@ -110,7 +119,7 @@ def _stars(nodes: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("t", "v", F.col("hub.bits").alias("other_bits"))
     )
-    near = rows.join(hubs, ["t", "v"]).where((F.col("bits") != F.col("other_bits")) & _near())
+    near = _meet(rows, hubs).where((F.col("bits") != F.col("other_bits")) & _near())
     return near.select(F.col("bits").alias("a"), F.col("other_bits").alias("b"))
 
 
@@ -131,26 +140,30 @@ def linked(nodes: DataFrame) -> DataFrame:
         sizes.groupBy("t", "v").agg(F.max(F.struct("n", "comp")).alias("top")).select("t", "v", F.col("top.comp").alias("chief")),
         "chief",
     )
-    index = tables.join(chief, ["t", "v"]).select(
+    index = _meet(tables, chief).select(
         "t", "v", F.col("bits").alias("other_bits"), F.col("comp").alias("other_comp"), (F.col("comp") == F.col("chief")).alias("main")
     )
     index = written(index, "index")
-    probes = _probes(nodes, "comp").join(chief, ["t", "v"]).withColumn("of_chief", F.col("comp") == F.col("chief"))
+    probes = _meet(_probes(nodes, "comp"), chief).withColumn("of_chief", F.col("comp") == F.col("chief"))
     differ = (F.col("comp") != F.col("other_comp")) & _near()
     links = [
-        probes.where("not of_chief").join(index, ["t", "v"]).where(differ),
-        probes.where("of_chief").join(index.where("not main"), ["t", "v"]).where(differ),
+        _meet(probes.where("not of_chief"), index).where(differ),
+        _meet(probes.where("of_chief"), index.where("not main")).where(differ),
     ]
     links = [x.select(F.greatest("comp", "other_comp").alias("a"), F.least("comp", "other_comp").alias("b")) for x in links]
     return _labelled(nodes, links[0].unionByName(links[1]))
 
 
 def _components(rows: DataFrame) -> DataFrame:
-    """(bits, comp, first): the component of every fingerprint, and the smallest id in it."""
+    """(bits, comp, first): the component of every fingerprint, and the smallest id in it.
+
+    Here and where it is used, joins with a row per fingerprint on either side are merges: a compressed
+    file below Spark's limit is many times its size on the driver.
+    """
     nodes = written(rows.groupBy("bits").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct")
-    comps = written(linked(nodes.select("bits", "copies")).join(nodes, "bits").select("bits", "comp", "first"), "components")
+    comps = written(linked(nodes.select("bits", "copies")).hint("merge").join(nodes, "bits").select("bits", "comp", "first"), "components")
     first = comps.groupBy("comp").agg(F.min("first").alias("first"))
-    return comps.select("bits", "comp").join(first, "comp")
+    return comps.select("bits", "comp").hint("merge").join(first, "comp")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -161,7 +174,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     other.  Repeated rows are grouped each; a null id sorts first and comes back as null.
     """
     rows = written(fingerprints(docs).drop("text_key"), "fingerprints")
-    return rows.join(_components(rows).select("bits", "first"), "bits").select(
+    return rows.hint("merge").join(_components(rows).select("bits", "first"), "bits").select(
         given_id().alias("doc_id"),
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         given_id("first").alias("component_id"),
