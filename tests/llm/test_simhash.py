@@ -113,6 +113,7 @@ def test_no_table_by_fingerprint_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(simhash, "written", lambda df, name: written(kept(df), name))
     rows = [(k, t) for k, t in enumerate(near_copies(5, 10) + [text(i) for i in range(10)])]
     assert kept(simhash.grouped(docs(spark, rows))).count() == len(rows)
+    assert kept(simhash.one_of_each(docs(spark, rows))).count() < len(rows)
     joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert sum("SortMergeJoin" in plan for plan in plans) >= 8
     # Left are members of components onto fingerprints, and kept rows onto texts: nothing keyed by segment or fingerprint.

@@ -192,7 +192,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = written(fingerprints(docs), "fingerprints")
     alike = rows.groupBy("bits", "id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
     least = (
-        alike.join(_components(rows).select("bits", "comp"), "bits")
+        alike.hint("merge").join(_components(rows).select("bits", "comp"), "bits")
         .groupBy("comp")
         .agg(F.min(F.struct("id", "text_key", "rows")).alias("least"))
     )
